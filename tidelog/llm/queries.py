@@ -4,11 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding
+from . import packing, scratch, sharding, tokenbin
 
 ORACLE: dict[str, str] = {}
 
 
+def vocabulary(name: str) -> str:
+    """The path of a public tokenizer's file, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -18,4 +25,16 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"), 16)
 
 
-QUERIES = {"op10_sharding": op10_sharding}
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens."""
+    return packing.pack(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 2048, end_id=0)
+
+
+def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids, written in binary blocks and read back."""
+    path = scratch.new_path(spark, "token-files")
+    tokenbin.write(_table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"), end_id=2)
+    return tokenbin.read(spark, path)
+
+
+QUERIES = {"op4_best_fit_packing": op4_best_fit_packing, "op7_token_binary": op7_token_binary, "op10_sharding": op10_sharding}
