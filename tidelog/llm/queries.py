@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, scratch, sharding, tokenbin
+from . import packing, scratch, sharding, tokenbin, urltree
 
 ORACLE: dict[str, str] = {}
 
@@ -25,6 +25,21 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"), 16)
 
 
+#: The rules of op3 (fixed values): verdict, host and start of the path.
+URL_RULES = (
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+)
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for every page's url."""
+    return urltree.judge(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""
     return packing.pack(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 2048, end_id=0)
@@ -37,4 +52,4 @@ def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.read(spark, path)
 
 
-QUERIES = {"op4_best_fit_packing": op4_best_fit_packing, "op7_token_binary": op7_token_binary, "op10_sharding": op10_sharding}
+QUERIES = {"op3_url_filters": op3_url_filters, "op4_best_fit_packing": op4_best_fit_packing, "op7_token_binary": op7_token_binary, "op10_sharding": op10_sharding}
