@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, scratch, sharding, tokenbin, urltree
+from . import chat, packing, scratch, sharding, tokenbin, urltree
 
 ORACLE: dict[str, str] = {}
 
@@ -20,6 +20,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one of control strings, formatted and read back."""
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.digest(chat.format_rows(rows))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of near equal bytes."""
     return sharding.shard(_table(spark, sf_dir, "documents"), 16)
@@ -52,4 +60,4 @@ def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.read(spark, path)
 
 
-QUERIES = {"op3_url_filters": op3_url_filters, "op4_best_fit_packing": op4_best_fit_packing, "op7_token_binary": op7_token_binary, "op10_sharding": op10_sharding}
+QUERIES = {"op3_url_filters": op3_url_filters, "op4_best_fit_packing": op4_best_fit_packing, "op7_token_binary": op7_token_binary, "op9_chat_format": op9_chat_format, "op10_sharding": op10_sharding}
