@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, packing, scratch, sharding, tokenbin, urltree
+from . import chat, langid, packing, scratch, sharding, tokenbin, urltree
 
 ORACLE: dict[str, str] = {}
 
@@ -53,6 +54,13 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 2048, end_id=0)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from four fifths of them."""
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out(F.col("doc_id"), 5, 0))
+    model = langid.fit(docs.where(~F.col("held_out")))
+    return langid.predict(docs, model, ("doc_id", "held_out"))
+
+
 def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' ids, written in binary blocks and read back."""
     path = scratch.new_path(spark, "token-files")
@@ -60,4 +68,4 @@ def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.read(spark, path)
 
 
-QUERIES = {"op3_url_filters": op3_url_filters, "op4_best_fit_packing": op4_best_fit_packing, "op7_token_binary": op7_token_binary, "op9_chat_format": op9_chat_format, "op10_sharding": op10_sharding}
+QUERIES = {"op3_url_filters": op3_url_filters, "op4_best_fit_packing": op4_best_fit_packing, "op6_language_id": op6_language_id, "op7_token_binary": op7_token_binary, "op9_chat_format": op9_chat_format, "op10_sharding": op10_sharding}
