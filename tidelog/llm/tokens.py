@@ -9,9 +9,13 @@ to the tokenizer in one batch. The cache is emptied when it holds ``most`` cuts.
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 
+#: Marks that may end a word; a vocabulary's pattern has them apart from letters.
+_ENDINGS = ".,!?;:#$%&*|"
+
 _coders: dict[tuple[str, bool], "Coder"] = {}
 
 
@@ -67,20 +71,55 @@ class Coder:
         return cuts
 
     def _learn(self, keys: list[str]) -> None:
-        texts = [k[1:] if k[:1] == "\n" else f" {k}" for k in keys] if self.spaces_count else keys
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        at, n, total = len(self.known), len(ids), int(lengths.sum())
+        """Add cuts. One that ends in punctuation after a letter is the ids of its front and of that ending, which are tokens apart."""
+        new: dict[str, None] = {}
+        joined, fronts, endings = [], [], []
+        for key in keys:
+            front = key.rstrip(_ENDINGS)
+            n = len(front)
+            if n == len(key) or not n or not front[-1].isalpha():
+                front, ending = key, ""
+            else:
+                ending = "\n" + key[n:] if self.spaces_count else key[n:]
+            if not self.spaces_count and front.isascii():
+                front = front.lower()
+            if front not in self.known:
+                new[front] = None
+            if ending and ending not in self.known:
+                new[ending] = None
+            if front != key:
+                joined.append(key)
+                fronts.append(front)
+                endings.append(ending)
+        if new:
+            texts = [k[1:] if k[:1] == "\n" else f" {k}" for k in new] if self.spaces_count else list(new)
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            self._add(list(new), np.fromiter(map(len, ids), np.int64, len(ids)), np.fromiter(chain.from_iterable(ids), np.uint32))
+        if joined:
+            if "" not in self.known:
+                self._add([""], np.zeros(1, np.int64), np.zeros(0, np.uint32))
+            which = np.array([[self.known[f], self.known[e]] for f, e in zip(fronts, endings)])
+            lengths = self.length[which]
+            self._add(joined, lengths.sum(1), self._gather(which.reshape(-1)))
+
+    def _add(self, keys: list[str], lengths: np.ndarray, ids: np.ndarray) -> None:
+        at, n, total = len(self.known), len(keys), len(ids)
         while at + n > len(self.start):
             self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
+        self.flat[self.used : self.used + total] = ids
         self.length[at : at + n] = lengths
         self.start[at : at + n] = self.used + np.cumsum(lengths) - lengths
         self.used += total
         self.known.update(zip(keys, range(at, at + n)))
 
+    def _gather(self, which: np.ndarray) -> np.ndarray:
+        """The ids of known cuts, one after the other."""
+        lengths = self.length[which]
+        ends = np.cumsum(lengths)
+        return self.flat[np.repeat(self.start[which] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one text after the other, and the number of ids of each."""
         if len(self.known) > self.most:
@@ -93,12 +132,8 @@ class Coder:
             self._learn(list(new))
         get = self.known.__getitem__
         which = np.concatenate([np.fromiter(map(get, c), np.int64, len(c)) for c in cuts]) if cuts else np.zeros(0, np.int64)
-        lengths = self.length[which]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.start[which] - (ends - lengths), lengths) + np.arange(total)]
-        bounds = np.concatenate([[0], ends])[np.cumsum([0, *map(len, cuts)])]
-        return ids, np.diff(bounds)
+        ends = np.concatenate([[0], np.cumsum(self.length[which])])
+        return self._gather(which), np.diff(ends[np.cumsum([0, *map(len, cuts)])])
 
 
 def in_parts(texts: list[str | None], most_chars: int = 1_000_000):
