@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, packing, scratch, sharding, tokenbin, toxicity, urltree
+from . import chat, decontam, langid, packing, scratch, sharding, syncmers, tokenbin, toxicity, urltree
 
 ORACLE: dict[str, str] = {}
 
@@ -83,6 +83,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 2048, end_id=0)
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return syncmers.compare_edited(_table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learnt from four fifths of them."""
     docs = _table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out(F.col("doc_id"), 5, 0))
@@ -97,4 +102,4 @@ def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.read(spark, path)
 
 
-QUERIES = {"op2_decontamination": op2_decontamination, "op3_url_filters": op3_url_filters, "op4_best_fit_packing": op4_best_fit_packing, "op6_language_id": op6_language_id, "op7_token_binary": op7_token_binary, "op8_toxicity": op8_toxicity, "op9_chat_format": op9_chat_format, "op10_sharding": op10_sharding}
+QUERIES = {"op2_decontamination": op2_decontamination, "op3_url_filters": op3_url_filters, "op4_best_fit_packing": op4_best_fit_packing, "op5_fingerprints": op5_fingerprints, "op6_language_id": op6_language_id, "op7_token_binary": op7_token_binary, "op8_toxicity": op8_toxicity, "op9_chat_format": op9_chat_format, "op10_sharding": op10_sharding}
