@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, packing, scratch, sharding, syncmers, tokenbin, toxicity, urltree
+from . import chat, decontam, langid, minhash, packing, scratch, sharding, syncmers, tokenbin, toxicity, urltree
 
 ORACLE: dict[str, str] = {}
 
@@ -55,12 +55,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"), 16)
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), 85)
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of every document that lie in spans of benchmark items."""
     found = decontam.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), span=10)
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+ORACLE["op1_minhash"] = minhash.ORACLE
 ORACLE["op2_decontamination"] = decontam.ORACLE
 
 #: The rules of op3 (fixed values): verdict, host and start of the path.
@@ -102,4 +108,4 @@ def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.read(spark, path)
 
 
-QUERIES = {"op2_decontamination": op2_decontamination, "op3_url_filters": op3_url_filters, "op4_best_fit_packing": op4_best_fit_packing, "op5_fingerprints": op5_fingerprints, "op6_language_id": op6_language_id, "op7_token_binary": op7_token_binary, "op8_toxicity": op8_toxicity, "op9_chat_format": op9_chat_format, "op10_sharding": op10_sharding}
+QUERIES = {"op1_minhash": op1_minhash, "op2_decontamination": op2_decontamination, "op3_url_filters": op3_url_filters, "op4_best_fit_packing": op4_best_fit_packing, "op5_fingerprints": op5_fingerprints, "op6_language_id": op6_language_id, "op7_token_binary": op7_token_binary, "op8_toxicity": op8_toxicity, "op9_chat_format": op9_chat_format, "op10_sharding": op10_sharding}
