@@ -1,4 +1,6 @@
-"""Queries of the log part by name, with their DuckDB SQL."""
+"""All queries of the log part by name, with their DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import log_queries  # noqa: F401
+from .base import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
