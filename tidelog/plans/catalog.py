@@ -1,6 +1,6 @@
 """All queries of the log part by name, with their DuckDB SQL."""
 
-from . import log_queries  # noqa: F401
+from . import log_queries, stream_queries  # noqa: F401
 from .base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
