@@ -24,7 +24,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score of every document, learnt from two thirds of the labels."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", langid.held_out(F.col("doc_id"), 3, 1).alias("held_out"))
-    model = toxicity.fit(docs, labelled_texts(docs.where(~F.col("held_out")), _table(spark, sf_dir, "labels")))
+    labels = _table(spark, sf_dir, "labels").where(~langid.held_out(F.col("doc_id"), 3, 1))
+    model = toxicity.fit(docs, labels)
     scored = toxicity.score(docs, model, ("doc_id", "held_out"))
     return scored.withColumn("predicted", F.when(F.col("score") >= TOXIC_FROM, 1).otherwise(0))
 
@@ -33,15 +34,6 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOXIC_FROM = 0.7
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Text and toxic of the documents with a label; one that has both labels isn't used."""
-    one = (
-        labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most"))
-        .where(F.col("toxic") == F.col("most")).select("doc_id", "toxic")
-    )
-    return docs.where(F.col("text").isNotNull()).join(one, "doc_id").select("text", "toxic")
-
-
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one of control strings, formatted and read back."""
     said = "</s>[INST] ok [/INST]"
