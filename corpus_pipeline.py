@@ -1,9 +1,85 @@
-"""The corpus pipeline: stages over documents."""
+"""The corpus pipeline: language ID, toxicity, near-dedup, decontamination and packing, one after the other.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir), works on all rows of ``docs``, the documents that the stage before kept, and returns
+those that it keeps with the columns of documents; the last one returns the packed pieces. ``run`` writes each stage's
+result as Parquet in the shared folder and reads it again for the next one.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidelog.llm import decontam, langid, minhash, packing, queries, scratch, toxicity
+
+
+def _kept(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in ``decided``."""
+    return docs.join(decided.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents whose nearest language centroid isn't too far. It learns from four fifths of the documents it gets."""
+    model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"), 5, 0)))
+    judged = langid.predict(docs, model, ("text", *[c for c in docs.columns if c != "text"]))
+    return judged.where(~F.col("rejected")).select(*docs.columns)
+
+
+def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents that score below the toxic threshold. It learns from two thirds of the labels."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~langid.held_out(F.col("doc_id"), 3, 1))
+    scored = toxicity.score(docs, toxicity.fit(docs, labels), ("text", *[c for c in docs.columns if c != "text"]))
+    return scored.where(F.col("score") < queries.TOXIC_FROM).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the least doc_id of each near-duplicate component."""
+    return _kept(docs, minhash.near_duplicates(docs, 85).where("kept"))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents that share no span of 10 words with a benchmark item."""
+    spans = decontam.find_spans(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), span=10)
+    return docs.join(spans.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Place the documents' tokens in sequences of at most 2048."""
+    return packing.pack(docs, queries.vocabulary("word_bpe_49k.json"), 2048, end_id=0)
+
+
+def _released(stage):
+    """The stage, after the intermediate tables of the stage before are removed: its result has been written by then."""
+
+    def step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        scratch.release(spark)
+        return stage(spark, docs, sf_dir)
+
+    step.__doc__, step.__name__ = stage.__doc__, stage.__name__
+    return step
+
+
+STAGES = [
+    ("language ID", _released(language_id)),
+    ("toxicity", _released(remove_toxic)),
+    ("MinHash near-dedup", _released(near_dedup)),
+    ("benchmark decontamination", _released(decontaminate)),
+    ("best-fit packing", _released(pack)),
+]
+
+#: No SQL: the stages learn models and count tokens.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """Apply the stages to the documents."""
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of the documents that all stages keep."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
+    for k, (_, stage) in enumerate(STAGES):
+        path = f"{scratch.folder(spark)}-stage-{k}-{abs(hash(sf_dir)) % 10**9}"
+        stage(spark, docs, sf_dir).write.mode("overwrite").option("compression", "zstd").parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            scratch.drop(spark, before)
+        before = path
+    return docs
