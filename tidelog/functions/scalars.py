@@ -121,7 +121,8 @@ def version_parts(text: Column) -> Column:
 
 def attribute(text: Column) -> Column:
     """An authorization attribute ``type:value`` as a struct, or null."""
-    return F.when(text.rlike(r"^[^:]+:.+$"), F.struct(F.substring_index(text, ":", 1).alias("data_type"), F.expr("substring({0}, instr({0}, ':') + 1)".format(text._jc.toString())).alias("value")))
+    parts = F.split(text, ":", 2)
+    return F.when(text.rlike(r"^[^:]+:.+$"), F.struct(parts.getItem(0).alias("data_type"), parts.getItem(1).alias("value")))
 
 
 def json_path(text: Column, path: str) -> Column:
