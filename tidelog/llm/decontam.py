@@ -26,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scratch
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What separates words in lower-cased text, and a word in any text (fixed values).
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -117,7 +119,7 @@ def merge_spans(spans: DataFrame) -> DataFrame:
 
 def report(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int = 4) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items (sorted as text) and contaminated for every row of ``docs``."""
-    spans = find_spans(docs, benchmark, span, k)
+    spans = scratch.keep(find_spans(docs, benchmark, span, k), "shared-spans")
     covered = merge_spans(spans).groupBy("doc_id").agg(F.sum(F.col("end") - F.col("start")).alias("n_hit"))
     found = (
         spans.select("doc_id", F.col("item_id").cast("string").alias("item")).distinct()
