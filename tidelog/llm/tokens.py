@@ -9,13 +9,17 @@ to the tokenizer in one batch. The cache is emptied when it holds ``most`` cuts.
 from __future__ import annotations
 
 import os
-from itertools import chain
+import re
+from itertools import chain, repeat
 
 import numpy as np
 
 #: Marks that may end a word; a vocabulary's pattern has them apart from letters.
 _ENDINGS = ".,!?;:#$%&*|"
 
+#: A blank beside other white space.
+_ODD = re.compile(r" (?:\s|(?<=\s ))")
+
 _coders: dict[tuple[str, bool], "Coder"] = {}
 
 
@@ -41,6 +45,7 @@ class Coder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spaces_count, self.most = spaces_count, most
+        self.bytes_of: np.ndarray | None = None
         self._empty()
 
     def _empty(self) -> None:
@@ -55,10 +60,10 @@ class Coder:
         if not self.spaces_count:
             return text.replace("\n", " ").split(" ")
         parts = text.split(" ")
-        odd = {p for p in set(parts) if not p or p[0].isspace() or p[-1].isspace()}
-        if not odd:
+        if text and not text[0].isspace() and not text[-1].isspace() and not _ODD.search(text):
             parts[0] = "\n" + parts[0]
             return parts
+        odd = {p for p in set(parts) if not p or p[0].isspace() or p[-1].isspace()}
         cuts, now, before = [], parts[0], parts[0]
         for part in parts[1:]:
             if before in odd or part in odd:
@@ -92,9 +97,14 @@ class Coder:
                 fronts.append(front)
                 endings.append(ending)
         if new:
-            texts = [k[1:] if k[:1] == "\n" else f" {k}" for k in new] if self.spaces_count else list(new)
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            self._add(list(new), np.fromiter(map(len, ids), np.int64, len(ids)), np.fromiter(chain.from_iterable(ids), np.uint32))
+            keys = list(new)
+            if self.spaces_count:
+                words = [k for k in keys if k and not k[0].isspace()]
+                self._add(words, *self._encode_words(words))
+                keys = [k for k in keys if not k or k[0].isspace()]
+                self._add(keys, *self._encode([k[1:] if k[:1] == "\n" else f" {k}" for k in keys]))
+            else:
+                self._add(keys, *self._encode(keys))
         if joined:
             if "" not in self.known:
                 self._add([""], np.zeros(1, np.int64), np.zeros(0, np.uint32))
@@ -102,6 +112,34 @@ class Coder:
             lengths = self.length[which]
             self._add(joined, lengths.sum(1), self._gather(which.reshape(-1)))
 
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each text, and all ids, from the tokenizer itself."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(map(len, ids), np.int64, len(ids)), np.fromiter(chain.from_iterable(ids), np.uint32)
+
+    def _encode_words(self, words: list[str], together: int = 2000) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words with a blank before each. Many are one text, whose ids are dealt out by their bytes."""
+        if self.bytes_of is None:
+            vocabulary = self.tokenizer.get_vocab()
+            self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+            self.bytes_of[list(vocabulary.values())] = list(map(len, vocabulary))  # a byte-level token has a character for each byte
+        lengths, all_ids = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        for at in range(0, len(words), together):
+            some = words[at : at + together]
+            text = " " + " ".join(some)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.cumsum(self.bytes_of[ids])
+            starts = np.flatnonzero(np.frombuffer(text.encode(), np.uint8) == 32)
+            first = np.searchsorted(ends - self.bytes_of[ids], starts)
+            if len(starts) == len(some) and ends[-1] == len(text.encode()) and (np.append(0, ends)[first] == starts).all():
+                lengths.append(np.diff(np.append(first, len(ids))))
+                all_ids.append(ids)
+            else:  # a word with a blank in it, or ids that don't keep to the words
+                n, ids = self._encode([f" {w}" for w in some])
+                lengths.append(n)
+                all_ids.append(ids)
+        return np.concatenate(lengths), np.concatenate(all_ids)
+
     def _add(self, keys: list[str], lengths: np.ndarray, ids: np.ndarray) -> None:
         at, n, total = len(self.known), len(keys), len(ids)
         while at + n > len(self.start):
@@ -125,13 +163,13 @@ class Coder:
         if len(self.known) > self.most:
             self._empty()
         cuts = [self._cuts(t) for t in texts]
-        new: set[str] = set()
-        for c in cuts:
-            new |= set(c).difference(self.known)
-        if new:
-            self._learn(list(new))
-        get = self.known.__getitem__
-        which = np.concatenate([np.fromiter(map(get, c), np.int64, len(c)) for c in cuts]) if cuts else np.zeros(0, np.int64)
+        flat = list(chain.from_iterable(cuts))
+        which = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
+        unknown = np.flatnonzero(which < 0).tolist()
+        if unknown:
+            new = [flat[k] for k in unknown]
+            self._learn(list(dict.fromkeys(new)))
+            which[unknown] = np.fromiter(map(self.known.__getitem__, new), np.int64, len(new))
         ends = np.concatenate([[0], np.cumsum(self.length[which])])
         return self._gather(which), np.diff(ends[np.cumsum([0, *map(len, cuts)])])
 
