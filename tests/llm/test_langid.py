@@ -44,3 +44,24 @@ def test_nothing_to_learn_from(spark, where):
     assert langid.fit(docs.where(where)) is None
     assert langid.predict(docs, None).collect()[0].lang_pred == "und"
     assert langid.predict(docs.where(F.lit(False)), None).count() == 0
+
+
+FOREIGN = {
+    "it": "Questa è una frase italiana abbastanza lunga che parla del tempo e della vita quotidiana nelle città del paese.",
+    "nl": "Dit is een Nederlandse zin die lang genoeg is om over het weer en het dagelijks leven te praten in de stad.",
+    "pt": "Esta é uma frase em português que fala sobre o tempo e a vida cotidiana nas cidades do país.",
+    "fi": "Tämä on suomenkielinen lause joka kertoo säästä ja jokapäiväisestä elämästä maan kaupungeissa.",
+    "sw": "Hii ni sentensi ya Kiswahili inayozungumzia hali ya hewa na maisha ya kila siku katika miji ya nchi.",
+    "id": "Ini adalah kalimat bahasa Indonesia yang membicarakan cuaca dan kehidupan sehari hari di kota kota negara.",
+}
+
+
+def test_unlearnt_languages_are_rejected_and_short_valid_texts_are_not(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").withColumn("held_out", langid.held_out(F.col("doc_id"), 5, 0))
+    model = langid.fit(docs.where("NOT held_out"))
+    foreign = spark.createDataFrame([(f"{k} {n}", (t + " ") * n) for k, t in FOREIGN.items() for n in (1, 8, 64)], "doc_id string, text string")
+    assert [r.doc_id for r in langid.predict(foreign, model).collect() if not r.rejected] == []
+    held = langid.predict(docs.where("held_out"), model, ("doc_id", "text")).collect()
+    assert np.mean([r.rejected for r in held]) < 0.005
+    short = [r for r in held if len(r.text or "") < 200 and len(set((r.text or "").split())) >= 8]  # prose, not one word or a repeated one
+    assert len(short) > 20 and sum(r.rejected for r in short) <= 1

@@ -4,8 +4,10 @@ A text is a normalised TF-IDF vector of hashed byte n-grams (two and three bytes
 A-Z lower-cased, everything in ASCII that isn't a letter as a blank). Each
 language has several centroids, found by spherical k-means; a text gets the
 language of the centroid with the highest cosine. It is rejected if that cosine
-lies below what all but a small share of that language's own training texts
-reach, or if it has no letter.
+lies below what all but a small share of that language's texts of about its
+length reach, or if it has no letter. Those cosines are of texts that their
+centroids weren't fitted on: the sample's by leaving out a fifth of it in turn,
+and all training texts outside of the sample. A group of copies counts once.
 
 Document frequencies are counted over all training documents. The centroids are
 fitted on a sample of at most about ``sample`` training documents of each
@@ -19,8 +21,10 @@ empty result; without any training document every text is ``und``.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +38,8 @@ _KEEP = bytes(
     b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
 _CHUNK = 1 << 21
+#: Buckets of length (powers of two of n-grams), bins of cosines, and parts of the sample left out in turn.
+BUCKETS, BINS, FOLDS = 40, 2000, 5
 
 
 def _counts(texts: list[bytes]) -> np.ndarray:
@@ -72,6 +78,42 @@ def _vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return v / np.where(norms > 0, norms, 1)
 
 
+def _buckets(counts: np.ndarray) -> np.ndarray:
+    """The bucket of length of every row of counts."""
+    return np.minimum(np.log2(1 + counts.sum(1)).astype(np.int64), BUCKETS - 1)
+
+
+def _least(seen: np.ndarray, tail: float, enough: int) -> np.ndarray:
+    """For each bucket the cosine that a share of 1 - ``tail`` reaches; ``seen`` counts texts by bucket and bin.
+
+    A bucket of fewer than ``enough`` texts takes in those around it. If a language has fewer in all, the least cosine is
+    that of a normal distribution, or the least one seen if it is lower.
+    """
+    out = np.zeros(BUCKETS)
+    middles = (np.arange(BINS) + 0.5) / BINS
+    for b in range(BUCKETS):
+        around = seen[b]
+        for w in range(1, BUCKETS):
+            if around.sum() >= enough:
+                break
+            around = seen[max(b - w, 0) : b + w + 1].sum(0)
+        n = around.sum()
+        if n < 2:
+            continue
+        out[b] = np.argmax(np.cumsum(around) > tail * n) / BINS
+        if n < enough:
+            mean = (around * middles).sum() / n
+            spread = np.sqrt((around * (middles - mean) ** 2).sum() / (n - 1))
+            out[b] = max(0.0, min(out[b], mean + NormalDist().inv_cdf(tail) * spread))
+    return out
+
+
+def _judge(cosines: np.ndarray, languages: list[str], said: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's bin of its highest cosine, and whether that is of the language it is said to be in (one for all, or each its own)."""
+    found = np.array(languages, object)[np.argmax(cosines, axis=1)]
+    return np.clip(np.max(cosines, axis=1) * BINS, 0, BINS - 1).astype(np.int64), (found == np.array(said, object)).astype(bool)
+
+
 def _bytes(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
@@ -83,12 +125,12 @@ def has_letter(text: Column) -> Column:
 
 @dataclass
 class Model:
-    """Centroids, the language of each, and the least cosine that each language accepts."""
+    """Centroids, the language of each, and the least cosine that each language accepts in each bucket of length."""
 
     idf: np.ndarray
     centroids: np.ndarray
     languages: list[str]
-    least: dict[str, float]
+    least: dict[str, np.ndarray]
 
 
 def _document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
@@ -125,11 +167,11 @@ def _clusters(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centroids.astype(np.float32)
 
 
-def fit(training: DataFrame, sample: int = 800, per_language: int = 3, tail: float = 0.001, slack: float = 0.5) -> Model | None:
+def fit(training: DataFrame, sample: int = 800, per_language: int = 3, tail: float = 0.001, enough: int = 50) -> Model | None:
     """A model from rows of text and lang (both not null).
 
-    ``tail`` and ``slack``: a text is rejected below ``slack`` times the cosine
-    that a share of 1 - ``tail`` of its language's sample reaches.
+    ``tail``: a text is rejected below the cosine that a share of 1 - ``tail`` of its language's texts of
+    about its length reach, seen on ``enough`` texts at least.
     """
     lettered = training.where(F.col("lang").isNotNull() & has_letter(F.col("text"))).select("text", "lang")
     df, n = _document_frequencies(lettered.select("text"))
@@ -146,21 +188,57 @@ def fit(training: DataFrame, sample: int = 800, per_language: int = 3, tail: flo
         for batch in batches:
             own = _bytes(batch.column(0))
             for a, b in _parts(own):
-                v = _vectors(_counts(own[a:b]), idf).astype(np.float16)
-                yield pa.RecordBatch.from_arrays([batch.column(1)[a:b], pa.array([x.tobytes() for x in v], pa.binary())], ["lang", "vector"])
+                counts = _counts(own[a:b])
+                v = _vectors(counts, idf).astype(np.float16)
+                yield pa.RecordBatch.from_arrays([batch.column(1)[a:b], pa.array([x.tobytes() for x in v], pa.binary()), pa.array(_buckets(counts))], ["lang", "vector", "bucket"])
 
-    rows = lettered.where(draw < share).mapInArrow(run, "lang string, vector binary").collect()
-    by: dict[str, list[bytes]] = {}
+    rows = lettered.where(draw < share).mapInArrow(run, "lang string, vector binary, bucket long").collect()
+    by: dict[str, list[tuple[bytes, int]]] = {}
     for r in rows:
-        by.setdefault(r["lang"], []).append(bytes(r["vector"]))
-    centroids, languages, least = [], [], {}
+        by.setdefault(r["lang"], []).append((bytes(r["vector"]), r["bucket"]))
+    del rows
+    vectors, bucket, fold, once = {}, {}, {}, {}
     for lang in sorted(by):
-        v = np.frombuffer(b"".join(sorted(by[lang])), np.float16).astype(np.float32).reshape(-1, DIMENSIONS)
-        own = _clusters(v, per_language)
-        centroids.append(own)
-        languages += [lang] * len(own)
-        least[lang] = slack * float(np.quantile(np.max(v @ own.T, axis=1), tail))
-    return Model(idf, np.concatenate(centroids), languages, least)
+        got = sorted(by.pop(lang))
+        vectors[lang] = np.frombuffer(b"".join(v for v, _ in got), np.float16).reshape(-1, DIMENSIONS)
+        bucket[lang] = np.array([k for _, k in got])
+        fold[lang] = np.array([zlib.crc32(v) % FOLDS for v, _ in got])  # copies are left out together
+        once[lang] = np.array([k == 0 or got[k] != got[k - 1] for k in range(len(got))])
+
+    def centroids_without(left_out: int) -> tuple[np.ndarray, list[str]]:
+        found, names = [], []
+        for lang, v in vectors.items():
+            own = fold[lang] != left_out
+            if own.any():
+                found.append(_clusters(v[own].astype(np.float32), per_language))
+                names += [lang] * len(found[-1])
+        return np.concatenate(found) if found else np.zeros((0, DIMENSIONS), np.float32), names
+
+    seen = {lang: np.zeros((BUCKETS, BINS), np.int64) for lang in vectors}
+    for f in range(FOLDS):
+        centroids, languages = centroids_without(f)
+        for lang, v in vectors.items():
+            judged = (fold[lang] == f) & once[lang]
+            if lang in languages and judged.any():
+                place, right = _judge(v[judged].astype(np.float32) @ centroids.T, languages, [lang])
+                np.add.at(seen[lang], (bucket[lang][judged][right], place[right]), 1)
+    centroids, languages = centroids_without(-1)
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = _bytes(batch.column(0))
+            for a, b in _parts(own):
+                counts = _counts(own[a:b])
+                place, right = _judge(_vectors(counts, idf) @ centroids.T, languages, batch.column(1)[a:b].to_pylist())
+                columns = [batch.column(1)[a:b], batch.column(2)[a:b], pa.array(_buckets(counts)), pa.array(place)]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "hash", "bucket", "place"]).filter(pa.array(right))
+
+    others = lettered.where(draw >= share).select("text", "lang", F.xxhash64("text").alias("hash"))
+    judged = others.mapInArrow(rest, "lang string, hash long, bucket long, place long").distinct()
+    for r in judged.groupBy("lang", "bucket", "place").agg(F.count(F.lit(1)).alias("n")).collect():
+        if r["lang"] in seen:
+            seen[r["lang"]][r["bucket"], r["place"]] += r["n"]
+    return Model(idf, centroids, languages, {lang: _least(s, tail, enough) for lang, s in seen.items()})
 
 
 PREDICTED = "lang_pred string, score double, rejected boolean"
@@ -171,21 +249,23 @@ def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + f", {PREDICTED}"
     if model is None:
         return docs.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
-    least = np.array([model.least[x] for x in model.languages])
+    least = np.array([model.least[x] for x in model.languages])  # by centroid and bucket
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c for c in keep] + ["lang_pred", "score", "rejected"]
         for batch in batches:
             own = [t if ok else b"" for t, ok in zip(_bytes(batch.column(0)), batch.column(1).to_pylist())]
             ok = np.array(batch.column(1).to_pylist(), bool)
-            best, score = np.zeros(len(own), np.int64), np.zeros(len(own))
+            best, score, bucket = np.zeros(len(own), np.int64), np.zeros(len(own)), np.zeros(len(own), np.int64)
             for a, b in _parts(own):
-                cosines = _vectors(_counts(own[a:b]), model.idf) @ model.centroids.T
+                counts = _counts(own[a:b])
+                bucket[a:b] = _buckets(counts)
+                cosines = _vectors(counts, model.idf) @ model.centroids.T
                 best[a:b] = np.argmax(cosines, axis=1)
                 score[a:b] = np.clip(np.max(cosines, axis=1), 0, 1)
             languages = [model.languages[k] if o else "und" for k, o in zip(best.tolist(), ok.tolist())]
             score = np.where(ok, score, 0.0)
-            rejected = ~ok | (score < least[best])
+            rejected = ~ok | (score < least[best, bucket])
             yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(languages, pa.string()), pa.array(score), pa.array(rejected)], names)
 
     text = F.col("text")
