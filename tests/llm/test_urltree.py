@@ -59,3 +59,21 @@ def test_variable_segments_become_wildcards_and_labels_decide(spark):
 
 def test_empty_table(spark):
     assert urltree.judge(spark.createDataFrame([], "page_id long, url string"), queries.URL_RULES).count() == 0
+
+
+@pytest.mark.parametrize("heavy, other", [("block", "allow"), ("allow", "block")])
+def test_a_heavy_branch_does_not_judge_pages_seen_once(spark, heavy, other):
+    rows = [("http://h.org/spam/page", heavy)] * 900 + [(f"http://h.org/once-{chr(97 + k)}/page", None) for k in range(9)]
+    rows += [("http://else.net/page", other)] * 2700
+    rows += [("http://h.org/unlike/page", other)] * 30
+    pages = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, said_by_hand string")
+    found = {(r.host, r.path, r.template, r.verdict) for r in urltree.judge(pages, label="said_by_hand").collect()}
+    assert {x[2:] for x in found if x[1] == "/spam/page"} == {("/spam/page", heavy)}
+    assert {x[2:] for x in found if x[1].startswith("/once")} == {("/*/page", other)}
+    assert {x[2:] for x in found if x[1] == "/unlike/page"} == {("/unlike/page", other)}
+
+
+def test_values_of_a_variable_that_come_again_are_one_template(spark):
+    rows = [f"http://h.org/user/name{chr(97 + k % 26)}{chr(97 + k // 26)}/photo" for k in range(200)] * 3
+    pages = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    assert {r.template for r in urltree.judge(pages).collect()} == {"/user/*/photo"}

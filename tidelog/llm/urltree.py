@@ -6,11 +6,11 @@ judged by a tree of path templates for each host:
 
 1. Paths are counted. Segments that are numbers, hashes or dates by their form
    become wildcards of that form at once, so few different paths remain.
-2. The tree grows level by level. At each node, if most children were seen about
-   once, they are values of a variable: all become ``*``. Else a child stays a
-   branch of its own unless its labels are statistically like those of all the
-   node's children (two-proportion z below ``z``) and it is not frequent; such
-   children merge into ``*``.
+2. The tree grows level by level. A child stays a branch of its own if it is
+   frequent, or if it has ``evidence`` labels or more and they are statistically unlike
+   those of all the node's children (z above ``z``). Of the others, rare ones
+   merge into ``*``; if most children were seen once or in a small
+   share of the node's urls, they are values of a variable, and all with less than twice the mean do.
 3. A template's purity is the share of its labelled urls that are labelled
    block, smoothed with the purity of the same template in the host's domain, that
    with its purity over all hosts, and that with the purity of all urls.
@@ -86,7 +86,7 @@ def segments(path: Column, depth: int) -> Column:
     return F.concat(F.transform(parts, _form), ending)
 
 
-def grow(paths: DataFrame, depth: int, variable: float = 0.5, least: int = 8, frequent: float = 0.1, z: float = 1.96) -> DataFrame:
+def grow(paths: DataFrame, depth: int, variable: float = 0.5, least: int = 8, frequent: float = 0.1, z: float = 1.96, seldom: float = 0.01, evidence: int = 5) -> DataFrame:
     """A template for each (host, segments) of ``paths``, which has n, labelled and blocked counts."""
     level = paths.withColumn("template", F.lit(""))
     deepest = paths.agg(F.max(F.size("segments"))).first()[0] or 0
@@ -94,20 +94,24 @@ def grow(paths: DataFrame, depth: int, variable: float = 0.5, least: int = 8, fr
         child = F.coalesce(F.get(F.col("segments"), F.lit(k)), F.lit(""))
         level = level.withColumn("child", child)
         nodes = level.groupBy("host", "template", "child").agg(*[F.sum(c).alias(f"c_{c}") for c in ("n", "labelled", "blocked")])
-        whole = nodes.where("child <> ''").groupBy("host", "template").agg(
+        sums = nodes.where("child <> ''").groupBy("host", "template").agg(
             F.count(F.lit(1)).alias("children"),
-            F.sum(F.when(F.col("c_n") == 1, 1).otherwise(0)).alias("once"),
             *[F.sum(f"c_{c}").alias(f"t_{c}") for c in ("n", "labelled", "blocked")],
         )
+        known = nodes.where("child <> ''").join(sums, ["host", "template"])
+        seldom_seen = F.col("c_n") <= F.greatest(F.lit(1.0), seldom * F.col("t_n"))
+        whole = known.groupBy("host", "template").agg(F.sum(F.when(seldom_seen, 1).otherwise(0)).alias("few"))
         rate = F.col("t_blocked") / F.greatest("t_labelled", F.lit(1))
         own = F.col("c_blocked") / F.greatest("c_labelled", F.lit(1))
         error = F.sqrt(rate * (1 - rate) / F.greatest("c_labelled", F.lit(1)))
-        alike = F.abs(own - rate) <= z * error + 1e-9
-        is_variable = (F.col("children") >= least) & (F.col("once") >= variable * F.col("children"))
+        alike = (F.col("c_labelled") < evidence) | (F.abs(own - rate) <= z * error + 1e-9)
+        few_of_many = F.col("c_n") < 2 * F.col("t_n") / F.col("children")
+        is_variable = F.col("few") >= variable * F.col("children")
         rare = F.col("c_n") < frequent * F.col("t_n")
         fixed = F.col("child").rlike(r"^\{")
-        token = F.when(~fixed & (is_variable | ((F.col("children") >= least) & rare & alike)), F.lit("*")).otherwise(F.col("child"))
-        named = nodes.where("child <> ''").join(whole, ["host", "template"]).select("host", "template", "child", token.alias("token"))
+        merged = (F.col("children") >= least) & alike & (rare | (is_variable & few_of_many))
+        token = F.when(~fixed & merged, F.lit("*")).otherwise(F.col("child"))
+        named = known.join(whole, ["host", "template"]).select("host", "template", "child", token.alias("token"))
         level = scratch.keep(level.join(named, ["host", "template", "child"], "left").select(
             "host", "segments", "n", "labelled", "blocked",
             F.when(F.col("token").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "token")).alias("template"),
