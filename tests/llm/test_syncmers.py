@@ -59,3 +59,12 @@ def test_likeness_follows_the_edit(spark):
     s = {r.doc_id: r.s for r in spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", syncmers.sketch(F.col("text")).alias("s")).collect()}
     near = lambda x, y: spark.createDataFrame([(s[x], s[y])], "a array<bigint>, b array<bigint>").select(syncmers.likeness(F.col("a"), F.col("b"))).first()[0]
     assert near(0, 0) == 1.0 and abs(near(0, 1) - 0.6) < 0.2 and near(0, 2) == 0.0
+
+
+def test_texts_of_four_words_have_a_fingerprint(spark):
+    rows = [(k, f"a{k} b{k * k} c{k % 7} d{k}") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = docs.select(syncmers.sketch(F.col("text")).alias("s"), syncmers.anchors(F.col("text")).alias("a")).collect()
+    assert all(len(r.s) == 1 and len(r.a) == 1 for r in got) and len({r.s[0] for r in got}) == 60
+    near = docs.select(syncmers.likeness(syncmers.sketch(F.col("text")), syncmers.sketch(F.lit(""))).alias("near")).distinct().collect()
+    assert [r.near for r in near] == [0.0]

@@ -5,7 +5,7 @@ kept if the least hash of its inner runs of ``S`` words lies at its first or las
 place. Whether it is kept depends on its own words alone, so two texts that share
 a passage keep the same k-mers in it wherever it stands: anchors by which
 passages can be aligned (:func:`anchors`, :func:`align`). A text of fewer than
-``K`` words has one anchor, its whole text.
+``K`` words, or one of which no k-mer is kept, has one anchor, its whole text.
 
 The fingerprint is a bottom sketch of the anchors: the ``SKETCH`` least of their
 distinct hashes, in hexadecimal. The likeness of two fingerprints estimates the
@@ -55,7 +55,8 @@ def _at_words(text: Column, each, whole) -> Column:
 
     def of_words(w: Column) -> Column:
         runs = F.transform(_positions(F.size(w) - (S - 1)), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(S)]))
-        return F.when(F.size(w) >= K, _let(runs, of_runs)).when(F.size(w) > 0, F.array(whole(w)))
+        kept = F.when(F.size(w) >= K, _let(runs, of_runs))
+        return _let(kept, lambda k: F.when(F.size(k) > 0, k).when(F.size(w) > 0, F.array(whole(w))))
 
     return _let(_words(text), of_words)
 
