@@ -79,3 +79,15 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(300)] + [(1000, 1001), (7, 7)], "a long, b long")
     got = {r.doc_id: r.component_id for r in minhash.components(links).collect()}
     assert got == {k: 0 for k in range(301)} | {1000: 1000, 1001: 1000}
+
+
+def test_null_ids_in_groups_of_copies(spark):
+    long = " ".join(f"w{k}" for k in range(100))
+    rows = [(5, "a b c d e f"), (None, "a b c d e f"), (7, "a b c d e f"), (None, "g h i j k l"), (None, "g h i j k l"), (8, long), (None, long + " end")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got if r.doc_id is not None) == [(5, 5, True), (7, 5, False), (8, 8, True)]
+    unnamed = [r for r in got if r.doc_id is None]
+    assert sorted(r.kept for r in unnamed) == [False, False, False, True]
+    assert {r.component_id for r in unnamed if r.component_id < 1 << 62} == {5, 8}
+    assert len({r.component_id for r in unnamed}) == 3

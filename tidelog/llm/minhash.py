@@ -27,7 +27,9 @@ Exact copies cost one row each: signatures are combined by class before the
 shuffle, and the class of a copy is found by an equi-join that Spark can split.
 
 Null and empty texts, and texts without words, have an empty set and are linked
-with nothing. Repeated rows: rows of one doc_id with different texts are linked
+with nothing. Rows of a null doc_id get an id by a hash of their text, from 2 ** 62 up,
+as component_id where no other id is in the component; of such rows with equal
+texts at most one is kept. Repeated rows: rows of one doc_id with different texts are linked
 to each other, as one document; each input row is returned. An empty table gives
 an empty result. Other columns of the input are ignored.
 """
@@ -144,11 +146,11 @@ def _bytes(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
-SIGNED = "doc_id long, n_shingles long, set1 long, set2 long, signature array<int>"
+SIGNED = "no_id boolean, doc_id long, n_shingles long, set1 long, set2 long, signature array<int>"
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, two hashes of the whole set and the signature of every row."""
+    """no_id, doc_id, n_shingles, two hashes of the whole set and the signature of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,9 +162,9 @@ def signed(docs: DataFrame) -> DataFrame:
                 two = np.array([_mix(s ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U) for s in sets], _U)
                 values = signatures(sets)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * COORDINATES, pa.int32()), pa.array(values.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(sizes), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), flat], ["doc_id", "n_shingles", "set1", "set2", "signature"])
+                yield pa.RecordBatch.from_arrays([batch.column(2)[a:b], batch.column(0)[a:b], pa.array(sizes), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), flat], ["no_id", "doc_id", "n_shingles", "set1", "set2", "signature"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SIGNED)
+    return docs.select(F.col("doc_id").cast("long"), "text", "no_id").mapInArrow(run, SIGNED)
 
 
 def candidate_lists(classes: DataFrame) -> DataFrame:
@@ -325,8 +327,10 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of ``docs``; doc_id isn't null."""
-    rows = scratch.keep(signed(docs), "signatures")
+    """doc_id, n_shingles, component_id and kept for every row of ``docs``."""
+    made = F.lit(1 << 62) + F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND((1 << 60) - 1)
+    docs = docs.select("text", F.coalesce(F.col("doc_id").cast("long"), made).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"))
+    rows = scratch.keep(signed(docs).withColumn("row", F.monotonically_increasing_id()), "signatures")
     full = rows.where("n_shingles > 0")
     key = ["n_shingles", "set1", "set2"]
     classes = scratch.keep(full.groupBy(*key).agg(F.min(F.struct("doc_id", "signature")).alias("c")).select(*key, "c.doc_id", "c.signature"), "classes")
@@ -338,10 +342,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     named = components(scratch.keep(links.union(several).distinct(), "confirmed"))
     of_first = named.withColumnRenamed("doc_id", "first")
     in_component = of_rows.groupBy("doc_id").agg(F.min("first").alias("first")).join(of_first, "first", "left").select("doc_id", F.coalesce("component_id", "first").alias("component_id"))
+    one_of = rows.where("no_id").groupBy("doc_id").agg(F.min("row").alias("only"))
     return (
-        rows.select("doc_id", "n_shingles").join(in_component, "doc_id", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-        .withColumn("kept", F.col("doc_id") == F.col("component_id"))
+        rows.select("no_id", "row", "doc_id", "n_shingles").join(in_component, "doc_id", "left").join(one_of, "doc_id", "left")
+        .select("no_id", "row", "only", "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        .select(
+            F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "n_shingles", "component_id",
+            ((F.col("doc_id") == F.col("component_id")) & (~F.col("no_id") | (F.col("row") == F.col("only")))).alias("kept"),
+        )
     )
 
 
