@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import scratch
-from .tokens import coder, in_parts
+from .tokens import coder, slices
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -42,21 +42,21 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int =
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = coder(vocabulary, False)
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in in_parts(texts):
-                flat, lengths = tokenizer.encode([t or "" for t in texts[a:b]])
-                out: list[list] = [[], [], [], [], [], []]
-                at = 0
-                for name, n in zip(names[a:b], lengths.tolist()):
-                    own = np.append(flat[at : at + n], end_id).astype("<u4")
-                    at += n
-                    for k, start in enumerate(range(0, n + 1, capacity)):
-                        piece = own[start : start + capacity]
-                        row = (name, k, start, len(piece), zlib.crc32(piece.tobytes()), piece.astype("<i4"))
-                        for column, value in zip(out, row):
-                            column.append(value)
-                kinds = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-                arrays = [pa.array(c, t) for c, t in zip(out[: 5 + with_ids], kinds)]
+            for a, b in slices(batch.column(1)):
+                flat, lengths = tokenizer.encode(batch.column(1).slice(a, b - a))
+                own = np.insert(flat, np.cumsum(lengths), end_id).astype("<u4")
+                lengths = lengths + 1
+                several = -(-lengths // capacity)
+                of = np.repeat(np.arange(b - a), several)
+                piece = np.arange(len(of)) - np.repeat(np.cumsum(several) - several, several)
+                start = piece * capacity
+                length = np.minimum(lengths[of] - start, capacity)
+                ends = np.append(0, np.cumsum(length))  # pieces follow each other as in the texts
+                raw = memoryview(own).cast("B")
+                crc = [zlib.crc32(raw[4 * i : 4 * j]) for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())]
+                arrays = [batch.column(0).slice(a, b - a).take(pa.array(of)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
+                if with_ids:
+                    arrays.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(own.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids])
 
     schema = PIECES + (", ids array<int>" if with_ids else "")

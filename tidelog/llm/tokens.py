@@ -1,24 +1,61 @@
 """Token ids of whole texts through a public tokenizer, with a cache of words inside each Python worker.
 
-Both supported vocabularies split a text before they merge, and never across the
-places where :class:`Coder` cuts it, so the ids of a text are the ids of its cuts
-in order. A text has few different cuts, so most are looked up, and the rest go
-to the tokenizer in one batch. The cache is emptied when it holds ``most`` cuts.
+A vocabulary splits a text before it merges, and never across the places where
+:class:`Coder` cuts it, so the ids of a text are the ids of its cuts in order:
+
+* before white space (of a byte-level vocabulary: before a run of it, and before
+  the last sign of a run that a word follows, as that sign belongs to the word;
+  not beside white space outside of ASCII),
+* before a mark of :data:`_ENDINGS` that stands behind a Latin letter.
+
+Cuts are found by numpy on a batch's bytes and numbered by Arrow's dictionary
+encoding, so each different cut of a batch is looked up once. New cuts go to the
+tokenizer: plain words straight to its merging model, as they are one piece for
+its splitter, all else to the whole tokenizer. A text that holds the string of a
+special token is one cut. The cache is emptied when it holds ``most`` cuts or
+``most_bytes``.
+
+Null texts are empty.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Marks that may end a word; a vocabulary's pattern has them apart from letters.
-_ENDINGS = ".,!?;:#$%&*|"
+_ENDINGS = b".,!?;:#$%&*|"
 
-#: A blank beside other white space.
-_ODD = re.compile(r" (?:\s|(?<=\s ))")
+
+def _table(members: bytes) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(members)] = True
+    return out
+
+
+_SPACE, _ENDING = _table(b" \t\n\x0b\x0c\r"), _table(_ENDINGS)
+_LETTER = _table(bytes(range(65, 91)) + bytes(range(97, 123)))
+#: Second bytes of two-byte letters after 0xC3 (Latin-1 but for the two signs of arithmetic).
+_SECOND = _table(bytes(b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)))
+
+#: A word that a splitter leaves whole: Latin and Cyrillic letters, with a blank before it or not.
+_WORD = re.compile("[ \t\n\x0b\x0c\r]?[A-Za-zÀ-ÖØ-öø-ɏЁА-яё]+")
+
+
+def _byte_signs() -> dict[int, str]:
+    """The sign of each byte in a byte-level vocabulary: itself if it is printed, else the next one from 256 up."""
+    printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printed]
+    return {b: chr(b) for b in printed} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+_SIGNS = _byte_signs()
 
 _coders: dict[tuple[str, bool], "Coder"] = {}
 
@@ -31,147 +68,144 @@ def coder(path: str, spaces_count: bool) -> "Coder":
 
 
 class Coder:
-    """Ids of texts.
+    """Ids of texts, as the tokenizer's ``encode(text, add_special_tokens=False)`` gives them.
 
     ``spaces_count``: the vocabulary's tokens hold white space (a byte-level
-    one); else white space only separates. Strings of special tokens inside a
-    text are ordinary text.
+    one); else white space only separates, and letters are lower-cased.
     """
 
-    def __init__(self, path: str, spaces_count: bool, most: int = 1_000_000):
+    def __init__(self, path: str, spaces_count: bool, most: int = 400_000, most_bytes: int = 96_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.spaces_count, self.most = spaces_count, most
-        self.bytes_of: np.ndarray | None = None
+        self.model = self.tokenizer.model
+        special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile(b"|".join(map(re.escape, special))) if special else None
+        self.spaces_count, self.most, self.most_bytes = spaces_count, most, most_bytes
         self._empty()
 
     def _empty(self) -> None:
         self.known: dict[str, int] = {}
-        self.start = np.zeros(1 << 16, np.int64)
-        self.length = np.zeros(1 << 16, np.int64)
-        self.flat = np.zeros(1 << 18, np.uint32)
-        self.used = 0
-
-    def _cuts(self, text: str) -> list[str]:
-        """Keys of the cuts of a text. A key that starts with a line feed stands for the rest of it, others for a blank and the key."""
-        if not self.spaces_count:
-            return text.replace("\n", " ").split(" ")
-        parts = text.split(" ")
-        if text and not text[0].isspace() and not text[-1].isspace() and not _ODD.search(text):
-            parts[0] = "\n" + parts[0]
-            return parts
-        odd = {p for p in set(parts) if not p or p[0].isspace() or p[-1].isspace()}
-        cuts, now, before = [], parts[0], parts[0]
-        for part in parts[1:]:
-            if before in odd or part in odd:
-                now += " " + part
-            else:
-                cuts.append("\n" + now)
-                now = " " + part
-            before = part
-        cuts.append("\n" + now)
-        return cuts
+        self.start = np.zeros(1 << 14, np.int64)
+        self.length = np.zeros(1 << 14, np.int64)
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.used = self.held = 0
+
+    def _cuts(self, raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Where the cuts of the texts that begin at ``starts`` begin."""
+        n = len(raw)
+        first = np.zeros(n + 1, bool)
+        first[starts] = True
+        first[n] = True
+        padded = np.concatenate([np.zeros(3, np.uint8), raw, np.zeros(2, np.uint8)])
+        behind = lambda at, k: padded[at + (3 - k)]
+        at = np.flatnonzero(_SPACE[raw])
+        if self.spaces_count:
+            follows = padded[at + 4]
+            run = first[at] | ~_SPACE[behind(at, 1)]
+            last = ~first[at + 1] & ~_SPACE[follows]
+            one, two, three = behind(at, 1), behind(at, 2), behind(at, 3)
+            odd = (one >= 0x80) & ((two == 0xC2) | ((three >= 0xE1) & (three <= 0xE3) & (two >= 0x80)))
+            odd |= (follows == 0xC2) | ((follows >= 0xE1) & (follows <= 0xE3))
+            at = at[(run | last) & ~odd]
+        mark = np.zeros(n, bool)
+        mark[at] = True
+        at = np.flatnonzero(_ENDING[raw])
+        mark[at[_LETTER[behind(at, 1)] | ((behind(at, 2) == 0xC3) & _SECOND[behind(at, 1)])]] = True
+        if self.special:
+            for m in self.special.finditer(memoryview(raw)):  # such a text is one cut
+                k = int(np.searchsorted(starts, m.start(), "right"))
+                mark[starts[k - 1] : starts[k] if k < len(starts) else n] = False
+        mark[starts[starts < n]] = True
+        return np.flatnonzero(mark)
 
     def _learn(self, keys: list[str]) -> None:
-        """Add cuts. One that ends in punctuation after a letter is the ids of its front and of that ending, which are tokens apart."""
-        new: dict[str, None] = {}
-        joined, fronts, endings = [], [], []
-        for key in keys:
-            front = key.rstrip(_ENDINGS)
-            n = len(front)
-            if n == len(key) or not n or not front[-1].isalpha():
-                front, ending = key, ""
-            else:
-                ending = "\n" + key[n:] if self.spaces_count else key[n:]
-            if not self.spaces_count and front.isascii():
-                front = front.lower()
-            if front not in self.known:
-                new[front] = None
-            if ending and ending not in self.known:
-                new[ending] = None
-            if front != key:
-                joined.append(key)
-                fronts.append(front)
-                endings.append(ending)
-        if new:
-            keys = list(new)
-            if self.spaces_count:
-                words = [k for k in keys if k and not k[0].isspace()]
-                self._add(words, *self._encode_words(words))
-                keys = [k for k in keys if not k or k[0].isspace()]
-                self._add(keys, *self._encode([k[1:] if k[:1] == "\n" else f" {k}" for k in keys]))
-            else:
-                self._add(keys, *self._encode(keys))
-        if joined:
-            if "" not in self.known:
-                self._add([""], np.zeros(1, np.int64), np.zeros(0, np.uint32))
-            which = np.array([[self.known[f], self.known[e]] for f, e in zip(fronts, endings)])
-            lengths = self.length[which]
-            self._add(joined, lengths.sum(1), self._gather(which.reshape(-1)))
-
-    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Number of ids of each text, and all ids, from the tokenizer itself."""
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        return np.fromiter(map(len, ids), np.int64, len(ids)), np.fromiter(chain.from_iterable(ids), np.uint32)
-
-    def _encode_words(self, words: list[str], together: int = 2000) -> tuple[np.ndarray, np.ndarray]:
-        """The same for words with a blank before each. Many are one text, whose ids are dealt out by their bytes."""
-        if self.bytes_of is None:
-            vocabulary = self.tokenizer.get_vocab()
-            self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
-            self.bytes_of[list(vocabulary.values())] = list(map(len, vocabulary))  # a byte-level token has a character for each byte
-        lengths, all_ids = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
-        for at in range(0, len(words), together):
-            some = words[at : at + together]
-            text = " " + " ".join(some)
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.cumsum(self.bytes_of[ids])
-            starts = np.flatnonzero(np.frombuffer(text.encode(), np.uint8) == 32)
-            first = np.searchsorted(ends - self.bytes_of[ids], starts)
-            if len(starts) == len(some) and ends[-1] == len(text.encode()) and (np.append(0, ends)[first] == starts).all():
-                lengths.append(np.diff(np.append(first, len(ids))))
-                all_ids.append(ids)
-            else:  # a word with a blank in it, or ids that don't keep to the words
-                n, ids = self._encode([f" {w}" for w in some])
-                lengths.append(n)
-                all_ids.append(ids)
-        return np.concatenate(lengths), np.concatenate(all_ids)
-
-    def _add(self, keys: list[str], lengths: np.ndarray, ids: np.ndarray) -> None:
-        at, n, total = len(self.known), len(keys), len(ids)
+        """Add cuts to the cache."""
+        ids: list[list[int]] = []
+        named: list[str] = []
+        rest: list[str] = []
+        pieces = self.model.tokenize
+        if self.spaces_count:
+            for key in keys:
+                if key[:1] in "\t\n\x0b\x0c\r" or not _WORD.fullmatch(key):
+                    rest.append(key)
+                    continue
+                piece = key.replace(" ", "Ġ") if key.isascii() else key.encode().decode("latin-1").translate(_SIGNS)
+                ids.append([t.id for t in pieces(piece)])
+                named.append(key)
+        else:
+            for key in keys:
+                low = key.lower()
+                if not _WORD.fullmatch(low):
+                    rest.append(key)
+                    continue
+                low = low.strip()
+                ids.append([t.id for t in pieces(low if low.isascii() else low.encode().decode("latin-1").translate(_SIGNS))])
+                named.append(key)
+        ids += [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+        named += rest
+        at, n = len(self.known), len(named)
+        lengths = np.fromiter(map(len, ids), np.int64, n)
+        total = int(lengths.sum())
         while at + n > len(self.start):
             self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + total] = ids
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
         self.length[at : at + n] = lengths
         self.start[at : at + n] = self.used + np.cumsum(lengths) - lengths
         self.used += total
-        self.known.update(zip(keys, range(at, at + n)))
+        self.held += sum(map(len, named)) + 200 * n + 4 * total  # about what an entry takes
+        self.known.update(zip(named, range(at, at + n)))
 
-    def _gather(self, which: np.ndarray) -> np.ndarray:
-        """The ids of known cuts, one after the other."""
-        lengths = self.length[which]
-        ends = np.cumsum(lengths)
-        return self.flat[np.repeat(self.start[which] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one text after the other, and the number of ids of each."""
-        if len(self.known) > self.most:
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if column.null_count:
+            column = column.fill_null("")
+        if len(self.known) > self.most or self.held > self.most_bytes:
             self._empty()
-        cuts = [self._cuts(t) for t in texts]
-        flat = list(chain.from_iterable(cuts))
-        which = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
-        unknown = np.flatnonzero(which < 0).tolist()
-        if unknown:
-            new = [flat[k] for k in unknown]
-            self._learn(list(dict.fromkeys(new)))
+        raw, starts = raw_bytes(column)
+        cuts = self._cuts(raw, starts[:-1]) if len(raw) else np.zeros(0, np.int64)
+        ends = pa.py_buffer(np.append(cuts, len(raw)).astype(np.int32))
+        coded = pa.Array.from_buffers(pa.string(), len(cuts), [None, ends, pa.py_buffer(raw)]).dictionary_encode()
+        keys = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        which = np.fromiter(map(self.known.get, keys, repeat(-1)), np.int64, len(keys))
+        unknown = np.flatnonzero(which < 0)
+        if len(unknown):
+            new = [keys[k] for k in unknown.tolist()]
+            self._learn(new)
             which[unknown] = np.fromiter(map(self.known.__getitem__, new), np.int64, len(new))
-        ends = np.concatenate([[0], np.cumsum(self.length[which])])
-        return self._gather(which), np.diff(ends[np.cumsum([0, *map(len, cuts)])])
+        of_cut = which[coded.indices.to_numpy()]
+        lengths = self.length[of_cut]
+        ends = np.cumsum(lengths)
+        ids = self.flat[np.repeat(self.start[of_cut] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        total = np.concatenate([[0], ends])
+        return ids, np.diff(total[np.searchsorted(cuts, starts)])
+
+
+def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of an array of texts without nulls, and where each text begins, with the end of the last."""
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    if not pa.types.is_string(column.type):
+        column = column.cast(pa.string())
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8)
+    return raw, ends - ends[0]
+
+
+def slices(column: pa.Array, most_bytes: int = 1 << 21, most_rows: int = 8192) -> Iterator[tuple[int, int]]:
+    """Ranges of an array of texts that have about ``most_bytes`` together (one text is never cut)."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    first = 0
+    while first < len(column):
+        before = ends[first - 1] if first else 0
+        last = min(max(int(np.searchsorted(ends, before + most_bytes, "right")), first + 1), first + most_rows, len(column))
+        yield first, last
+        first = last
 
 
 def in_parts(texts: list[str | None], most_chars: int = 1_000_000):
