@@ -132,17 +132,16 @@ def _places(bins: list[_Bins]) -> list[tuple[int, int, int, int, int, int]]:
 _PLACE = T.StructType([T.StructField(n, T.LongType()) for n in ("length", "from_rank", "to_rank", "times", "sequence", "at")])
 
 
-def place(items: DataFrame, capacity: int = 2048, key: tuple[str, ...] = ("doc_id", "piece"), rows_per_cell: int = 20_000) -> DataFrame:
+def place(items: DataFrame, capacity: int = 2048, key: tuple[str, ...] = ("doc_id", "piece"), rows_per_cell: int = 1_000) -> DataFrame:
     """``items`` (with ``length``) and their sequence_id and offset.
 
-    ``items`` must give the same rows each time it is read.
+    ``items`` must give the same rows each time it is read. A length has a cell for about each ``rows_per_cell`` of its pieces.
     """
     spark = items.sparkSession
     histogram = {r["length"]: r["n"] for r in items.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     table = spark.createDataFrame(_places(plan(histogram, capacity)), _PLACE)
-    most = max(histogram.values(), default=1)
-    cells = max(1, -(-most // rows_per_cell))
-    celled = items.withColumn("_cell", F.pmod(F.xxhash64(*key), F.lit(cells)).cast("int"))
+    cells = spark.createDataFrame([(n, -(-times // rows_per_cell)) for n, times in histogram.items()], "length long, _cells long")
+    celled = items.join(F.broadcast(cells), "length").withColumn("_cell", F.pmod(F.xxhash64(*key), F.col("_cells"))).drop("_cells")  # a row for each length
     counts = celled.groupBy("length", "_cell").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("length").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("length", "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
