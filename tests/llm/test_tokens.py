@@ -118,3 +118,15 @@ def test_files_of_an_empty_table(spark, docs):
     path = scratch.new_path(spark, "test-token-files")
     tokenbin.write(docs.limit(0), path, BYTES)
     assert tokenbin.read(spark, path).count() == 0
+
+
+def test_null_ids_and_equal_ids_in_files(spark):
+    rows = [(None, "a b"), (2, "c"), (None, None), (2, "c"), (2, "d e"), (1, "x " * 3000)]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, n long, control int").repartition(3)
+    path = scratch.new_path(spark, "test-token-files")
+    tokenbin.write(docs, path, BYTES, 2, block_ids=4, file_ids=1500)
+    got = sorted(tokenbin.read(spark, path, with_ids=True).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, None, 1, 2, 2, 2]
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
+    other = plain(BYTES)
+    assert sorted(tuple(r.ids) for r in got) == sorted((*other.encode(t or "", add_special_tokens=False).ids, 2) for _, t in rows)

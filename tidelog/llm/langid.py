@@ -15,8 +15,10 @@ language, chosen by a hash of the text, on the driver: ``sample`` vectors of
 ``DIMENSIONS`` numbers for each language.
 
 Null texts, empty ones and ones without a letter are ``und`` with score 0. Long
-texts count whole. Repeated rows get the same answer. An empty table gives an
-empty result; without any training document every text is ``und``.
+texts count whole. Repeated rows get the same answer. Of equal cosines the first
+language by name counts. An empty table gives an empty result; without any
+training document every text is ``und``. Other columns, whatever their names, aren't read, null
+ids neither; :func:`judge` is a column that a caller adds to any table.
 """
 
 from __future__ import annotations
@@ -31,28 +33,32 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tokens import slices
+
 #: Hashed n-grams: a power of two.
 DIMENSIONS = 1 << 13
 
 _KEEP = bytes(
     b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
-_CHUNK = 1 << 21
+#: Bytes and texts that are counted together.
+_CHUNK, _ROWS = 1 << 21, 128
 #: Buckets of length (powers of two of n-grams), bins of cosines, and parts of the sample left out in turn.
 BUCKETS, BINS, FOLDS = 40, 2000, 5
 
 
 def _counts(texts: list[bytes]) -> np.ndarray:
-    """n-gram counts of every text: a row of DIMENSIONS each."""
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-    raw = np.frombuffer(b" ".join(texts).translate(_KEEP) + b"   ", np.uint8).astype(np.uint32)
-    n = len(raw) - 3
+    """n-gram counts of every text, with blanks behind it: a row of DIMENSIONS each."""
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 2
+    raw = np.frombuffer(b"  ".join(texts).translate(_KEEP) + b"    ", np.uint8).astype(np.uint32)
+    n = len(raw) - 2
     row = np.repeat(np.arange(len(texts), dtype=np.int64) * DIMENSIONS, lengths)[:n]
     a, b, c = raw[:n], raw[1 : n + 1], raw[2 : n + 2]
     two = a << np.uint32(8) | b
     three = two << np.uint32(8) | c
     out = np.zeros(len(texts) * DIMENSIONS, np.int64)
     letters = (a != 32) | (b != 32)
+    letters[np.cumsum(lengths) - 1] = False  # the second blank behind a text looks into the next one
     for grams, salt in ((two, 0x9E3779B1), (three, 0x85EBCA77)):
         mixed = (grams + np.uint32(1)) * np.uint32(salt)
         code = (mixed ^ mixed >> np.uint32(15)) & np.uint32(DIMENSIONS - 1)
@@ -60,18 +66,6 @@ def _counts(texts: list[bytes]) -> np.ndarray:
     return out.reshape(len(texts), DIMENSIONS)
 
 
-def _parts(texts: list[bytes], most: int = 256) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about _CHUNK bytes and at most ``most`` texts."""
-    first = size = 0
-    for k, t in enumerate(texts):
-        if k > first and (size + len(t) > _CHUNK or k - first >= most):
-            yield first, k
-            first, size = k, 0
-        size += len(t)
-    if first < len(texts):
-        yield first, len(texts)
-
-
 def _vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     v = np.log1p(counts).astype(np.float32) * idf
     norms = np.linalg.norm(v, axis=1, keepdims=True)
@@ -137,10 +131,9 @@ def _document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, rows = np.zeros(DIMENSIONS, np.int64), 0
         for batch in batches:
-            own = _bytes(batch.column(0))
-            for a, b in _parts(own):
-                found += (_counts(own[a:b]) > 0).sum(0)
-            rows += len(own)
+            for a, b in slices(batch.column(0), _CHUNK, _ROWS):
+                found += (_counts(_bytes(batch.column(0).slice(a, b - a))) > 0).sum(0)
+            rows += batch.num_rows
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(found[at], rows), pa.int64())], ["gram", "n"])
 
@@ -153,16 +146,17 @@ def _document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     return df, n
 
 
-def _clusters(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """Spherical k-means from far apart starts; the same rows give the same centroids."""
-    chosen = [vectors.mean(0)]
+def _clusters(vectors: np.ndarray, times: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
+    """Spherical k-means, each vector counted ``times``, from far apart starts; the same rows give the same centroids."""
+    mean = lambda which: np.average(vectors[which], axis=0, weights=times[which])
+    chosen = [mean(slice(None))]
     for _ in range(min(k, len(vectors)) - 1):
         nearest = np.max(vectors @ np.array(chosen).T, axis=1)
         chosen.append(vectors[int(np.argmin(nearest))])
     centroids = np.array(chosen)
     for _ in range(rounds):
         nearest = np.argmax(vectors @ centroids.T, axis=1)
-        centroids = np.array([vectors[nearest == j].mean(0) if (nearest == j).any() else centroids[j] for j in range(len(centroids))])
+        centroids = np.array([mean(nearest == j) if (nearest == j).any() else centroids[j] for j in range(len(centroids))])
         centroids /= np.maximum(np.linalg.norm(centroids, axis=1, keepdims=True), 1e-9)
     return centroids.astype(np.float32)
 
@@ -186,31 +180,32 @@ def fit(training: DataFrame, sample: int = 800, per_language: int = 3, tail: flo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = _bytes(batch.column(0))
-            for a, b in _parts(own):
-                counts = _counts(own[a:b])
+            for a, b in slices(batch.column(0), _CHUNK, _ROWS):
+                counts = _counts(_bytes(batch.column(0).slice(a, b - a)))
                 v = _vectors(counts, idf).astype(np.float16)
-                yield pa.RecordBatch.from_arrays([batch.column(1)[a:b], pa.array([x.tobytes() for x in v], pa.binary()), pa.array(_buckets(counts))], ["lang", "vector", "bucket"])
+                yield pa.RecordBatch.from_arrays([batch.column(1)[a:b], pa.array([x.tobytes() for x in v], pa.binary()), pa.array(_buckets(counts)), batch.column(2).slice(a, b - a)], ["lang", "vector", "bucket", "times"])
 
-    rows = lettered.where(draw < share).mapInArrow(run, "lang string, vector binary, bucket long").collect()
-    by: dict[str, list[tuple[bytes, int]]] = {}
+    # copies once, so that a group of them can't outgrow the sample
+    drawn = lettered.where(draw < share).groupBy("lang", F.xxhash64("text").alias("hash")).agg(F.min("text").alias("text"), F.count(F.lit(1)).alias("times"))
+    rows = drawn.select("text", "lang", "times").mapInArrow(run, "lang string, vector binary, bucket long, times long").collect()
+    by: dict[str, list[tuple[bytes, int, int]]] = {}
     for r in rows:
-        by.setdefault(r["lang"], []).append((bytes(r["vector"]), r["bucket"]))
+        by.setdefault(r["lang"], []).append((bytes(r["vector"]), r["bucket"], r["times"]))
     del rows
-    vectors, bucket, fold, once = {}, {}, {}, {}
+    vectors, bucket, fold, times = {}, {}, {}, {}
     for lang in sorted(by):
         got = sorted(by.pop(lang))
-        vectors[lang] = np.frombuffer(b"".join(v for v, _ in got), np.float16).reshape(-1, DIMENSIONS)
-        bucket[lang] = np.array([k for _, k in got])
-        fold[lang] = np.array([zlib.crc32(v) % FOLDS for v, _ in got])  # copies are left out together
-        once[lang] = np.array([k == 0 or got[k] != got[k - 1] for k in range(len(got))])
+        vectors[lang] = np.frombuffer(b"".join(v for v, _, _ in got), np.float16).reshape(-1, DIMENSIONS)
+        bucket[lang] = np.array([k for _, k, _ in got])
+        fold[lang] = np.array([zlib.crc32(v) % FOLDS for v, _, _ in got])
+        times[lang] = np.array([n for _, _, n in got])
 
     def centroids_without(left_out: int) -> tuple[np.ndarray, list[str]]:
         found, names = [], []
         for lang, v in vectors.items():
             own = fold[lang] != left_out
             if own.any():
-                found.append(_clusters(v[own].astype(np.float32), per_language))
+                found.append(_clusters(v[own].astype(np.float32), times[lang][own], per_language))
                 names += [lang] * len(found[-1])
         return np.concatenate(found) if found else np.zeros((0, DIMENSIONS), np.float32), names
 
@@ -218,7 +213,7 @@ def fit(training: DataFrame, sample: int = 800, per_language: int = 3, tail: flo
     for f in range(FOLDS):
         centroids, languages = centroids_without(f)
         for lang, v in vectors.items():
-            judged = (fold[lang] == f) & once[lang]
+            judged = fold[lang] == f
             if lang in languages and judged.any():
                 place, right = _judge(v[judged].astype(np.float32) @ centroids.T, languages, [lang])
                 np.add.at(seen[lang], (bucket[lang][judged][right], place[right]), 1)
@@ -226,9 +221,8 @@ def fit(training: DataFrame, sample: int = 800, per_language: int = 3, tail: flo
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = _bytes(batch.column(0))
-            for a, b in _parts(own):
-                counts = _counts(own[a:b])
+            for a, b in slices(batch.column(0), _CHUNK, _ROWS):
+                counts = _counts(_bytes(batch.column(0).slice(a, b - a)))
                 place, right = _judge(_vectors(counts, idf) @ centroids.T, languages, batch.column(1)[a:b].to_pylist())
                 columns = [batch.column(1)[a:b], batch.column(2)[a:b], pa.array(_buckets(counts)), pa.array(place)]
                 yield pa.RecordBatch.from_arrays(columns, ["lang", "hash", "bucket", "place"]).filter(pa.array(right))
@@ -244,33 +238,35 @@ def fit(training: DataFrame, sample: int = 800, per_language: int = 3, tail: flo
 PREDICTED = "lang_pred string, score double, rejected boolean"
 
 
-def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, lang_pred, score (the cosine) and rejected of every row of ``docs``."""
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + f", {PREDICTED}"
+def judge(text: Column, model: Model | None) -> Column:
+    """A struct of lang_pred, score (the cosine) and rejected of a text. Only the text goes through Python."""
     if model is None:
-        return docs.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
+        return F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
     least = np.array([model.least[x] for x in model.languages])  # by centroid and bucket
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c for c in keep] + ["lang_pred", "score", "rejected"]
+    @F.arrow_udf(PREDICTED)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            own = [t if ok else b"" for t, ok in zip(_bytes(batch.column(0)), batch.column(1).to_pylist())]
-            ok = np.array(batch.column(1).to_pylist(), bool)
-            best, score, bucket = np.zeros(len(own), np.int64), np.zeros(len(own)), np.zeros(len(own), np.int64)
-            for a, b in _parts(own):
-                counts = _counts(own[a:b])
+            n = len(batch)
+            ok = batch.is_valid().to_numpy(zero_copy_only=False)
+            best, score, bucket = np.zeros(n, np.int64), np.zeros(n), np.zeros(n, np.int64)
+            for a, b in slices(batch, _CHUNK, _ROWS):
+                counts = _counts(_bytes(batch.slice(a, b - a)))
                 bucket[a:b] = _buckets(counts)
                 cosines = _vectors(counts, model.idf) @ model.centroids.T
                 best[a:b] = np.argmax(cosines, axis=1)
                 score[a:b] = np.clip(np.max(cosines, axis=1), 0, 1)
             languages = [model.languages[k] if o else "und" for k, o in zip(best.tolist(), ok.tolist())]
-            score = np.where(ok, score, 0.0)
             rejected = ~ok | (score < least[best, bucket])
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(languages, pa.string()), pa.array(score), pa.array(rejected)], names)
+            yield pa.StructArray.from_arrays([pa.array(languages, pa.string()), pa.array(np.where(ok, score, 0.0)), pa.array(rejected)], ["lang_pred", "score", "rejected"])
+
+    return run(F.when(has_letter(text), text))
+
 
-    text = F.col("text")
-    inputs = docs.select(text.alias("_text"), has_letter(text).alias("_ok"), *[F.col(c) for c in keep])
-    return inputs.mapInArrow(run, schema)
+def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` columns, lang_pred, score (the cosine) and rejected of every row of ``docs``."""
+    judged = docs.select(*keep, judge(F.col("text"), model).alias("_judged"))
+    return judged.select(*keep, "_judged.lang_pred", "_judged.score", "_judged.rejected")
 
 
 def held_out(doc_id: Column, of: int, remainder: int) -> Column:

@@ -146,7 +146,7 @@ def _bytes(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
-SIGNED = "no_id boolean, doc_id long, n_shingles long, set1 long, set2 long, signature array<int>"
+SIGNED = "no_id boolean, text_hash long, doc_id long, n_shingles long, set1 long, set2 long, signature array<int>"
 
 
 def signed(docs: DataFrame) -> DataFrame:
@@ -162,9 +162,9 @@ def signed(docs: DataFrame) -> DataFrame:
                 two = np.array([_mix(s ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U) for s in sets], _U)
                 values = signatures(sets)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * COORDINATES, pa.int32()), pa.array(values.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(2)[a:b], batch.column(0)[a:b], pa.array(sizes), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), flat], ["no_id", "doc_id", "n_shingles", "set1", "set2", "signature"])
+                yield pa.RecordBatch.from_arrays([batch.column(2)[a:b], batch.column(3)[a:b], batch.column(0)[a:b], pa.array(sizes), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), flat], ["no_id", "text_hash", "doc_id", "n_shingles", "set1", "set2", "signature"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text", "no_id").mapInArrow(run, SIGNED)
+    return docs.select(F.col("doc_id").cast("long"), "text", "no_id", F.xxhash64("text").alias("text_hash")).mapInArrow(run, SIGNED)
 
 
 def candidate_lists(classes: DataFrame) -> DataFrame:
@@ -326,8 +326,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components are open after {rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of ``docs``."""
+def near_duplicates(docs: DataFrame, percent: int = 85, with_hash: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of ``docs``, and text_hash (xxhash64) on request."""
     made = F.lit(1 << 62) + F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND((1 << 60) - 1)
     docs = docs.select("text", F.coalesce(F.col("doc_id").cast("long"), made).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"))
     rows = scratch.keep(signed(docs).withColumn("row", F.monotonically_increasing_id()), "signatures")
@@ -344,11 +344,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     in_component = of_rows.groupBy("doc_id").agg(F.min("first").alias("first")).join(of_first, "first", "left").select("doc_id", F.coalesce("component_id", "first").alias("component_id"))
     one_of = rows.where("no_id").groupBy("doc_id").agg(F.min("row").alias("only"))
     return (
-        rows.select("no_id", "row", "doc_id", "n_shingles").join(in_component, "doc_id", "left").join(one_of, "doc_id", "left")
-        .select("no_id", "row", "only", "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        rows.select("no_id", "text_hash", "row", "doc_id", "n_shingles").join(in_component, "doc_id", "left").join(one_of, "doc_id", "left")
+        .select("no_id", "text_hash", "row", "only", "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
         .select(
             F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "n_shingles", "component_id",
-            ((F.col("doc_id") == F.col("component_id")) & (~F.col("no_id") | (F.col("row") == F.col("only")))).alias("kept"),
+            ((F.col("doc_id") == F.col("component_id")) & (~F.col("no_id") | (F.col("row") == F.col("only")))).alias("kept"), *(["text_hash"] if with_hash else []),
         )
     )
 

@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _held: list[str] = []
+_results: list[str] = []
 
 
 def folder(spark: SparkSession) -> str:
@@ -29,13 +30,18 @@ def folder(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder, removed by :func:`release`."""
-    if not _held:
-        atexit.register(_at_exit)
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
-    _held.append(path)
+    hold(path)
     return path
 
 
+def hold(path: str, result: bool = False) -> None:
+    """From now on ``path`` is one that :func:`release` and the session's end remove; a result only that end."""
+    if not _held and not _results:
+        atexit.register(_at_exit)
+    (_results if result else _held).append(path)
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends there."""
     spark = df.sparkSession
@@ -64,6 +70,7 @@ def _at_exit() -> None:
     if spark is None or spark.sparkContext._jsc is None:
         return
     try:
+        _held.extend(_results)
         release(spark)
     except Exception as error:  # the session is closing; what is left lies in the checkpoint folder
         print(f"tidelog: intermediate tables remain: {error}")
