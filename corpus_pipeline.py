@@ -3,48 +3,72 @@
 Each stage takes (spark, docs, sf_dir), works on all rows of ``docs``, the documents that the stage before kept, and returns
 those that it keeps with the columns of documents; the last one returns the packed pieces. ``run`` writes each stage's
 result as Parquet in the shared folder and reads it again for the next one.
+
+Further columns of ``docs`` are kept, whatever their names (doc_id, text and lang have their meaning). Long texts count whole. An empty
+table gives an empty result. Only ids and texts go through Python, and verdicts come back.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import decontam, langid, minhash, packing, queries, scratch, toxicity
 
+#: Rows of a table of decisions that may be broadcast (a doc_id and a hash each); beyond it both sides are shuffled.
+MOST_BROADCAST = 500_000
 
-def _kept(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``decided``."""
-    return docs.join(decided.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+
+def _without(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id and text aren't in ``decided`` (doc_id and text_hash); null ids are equal."""
+    gone = scratch.keep(decided.select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct(), "gone")
+    if gone.count() <= MOST_BROADCAST:
+        gone = F.broadcast(gone)
+    same = docs["doc_id"].eqNullSafe(gone["_gone"]) & (F.xxhash64(docs["text"]) == gone["_hash"])
+    return docs.join(gone, same, "left_anti")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose nearest language centroid isn't too far. It learns from four fifths of the documents it gets."""
+    """Keep documents whose nearest language centroid isn't too far. It learns from four fifths of the documents it gets.
+
+    Texts that are null, empty or without a letter go. Equal texts are judged alike, of equal cosines the first language counts.
+    """
     model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"), 5, 0)))
-    judged = langid.predict(docs, model, ("text", *[c for c in docs.columns if c != "text"]))
-    return judged.where(~F.col("rejected")).select(*docs.columns)
+    return docs.where(~langid.judge(F.col("text"), model)["rejected"])
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents that score below the toxic threshold. It learns from two thirds of the labels."""
+    """Keep documents that score below the toxic threshold. It learns from two thirds of the labels.
+
+    Null and empty texts have no toxic word and stay. Equal texts are judged alike; a score at the threshold goes.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~langid.held_out(F.col("doc_id"), 3, 1))
-    scored = toxicity.score(docs, toxicity.fit(docs, labels), ("text", *[c for c in docs.columns if c != "text"]))
-    return scored.where(F.col("score") < queries.TOXIC_FROM).select(*docs.columns)
+    return docs.where(toxicity.judge(F.col("text"), toxicity.fit(docs, labels)) < queries.TOXIC_FROM)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least doc_id of each near-duplicate component."""
-    return _kept(docs, minhash.near_duplicates(docs, 85).where("kept"))
+    """Keep the document with the least doc_id of each near-duplicate component, similarity 0.85 or more.
+
+    Texts without words are linked with nothing and stay. Rows of one doc_id are one document and stay or go together;
+    rows of a null doc_id with equal texts are one, of which one row stays.
+    """
+    named = docs.where(F.col("doc_id").isNotNull()).unionByName(docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"]))
+    return _without(named, minhash.near_duplicates(named, 85, with_hash=True).where(~F.col("kept")))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents that share no span of 10 words with a benchmark item."""
-    spans = decontam.find_spans(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), span=10)
-    return docs.join(spans.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Keep documents that share no span of 10 words with a benchmark item, nor the whole of a shorter item.
+
+    Null and empty texts share none and stay; each row is judged by its own text, null ids too.
+    """
+    found = decontam.report(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), span=10)
+    return _without(docs, found.where("contaminated"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Place the documents' tokens in sequences of at most 2048."""
+    """Place the documents' tokens in sequences of at most 2048. A null or empty text is its end id alone, a null doc_id stays null."""
     return packing.pack(docs, queries.vocabulary("word_bpe_49k.json"), 2048, end_id=0)
 
 
@@ -72,14 +96,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The packed pieces of the documents that all stages keep."""
+    """The packed pieces of the documents that all stages keep. They lie in the shared folder until the session's end."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     before = None
     for k, (_, stage) in enumerate(STAGES):
-        path = f"{scratch.folder(spark)}-stage-{k}-{abs(hash(sf_dir)) % 10**9}"
-        stage(spark, docs, sf_dir).write.mode("overwrite").option("compression", "zstd").parquet(path)
+        path = f"{scratch.folder(spark)}-stage-{k}-{uuid.uuid4().hex}"
+        stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
         docs = spark.read.parquet(path)
         if before:
             scratch.drop(spark, before)
         before = path
+    scratch.hold(before, result=True)
     return docs
