@@ -10,18 +10,20 @@ classes match if they collide in at least ``MATCH`` coordinates:
 * Prefix: ordered by the length of their lists, only the shortest lists of a
   class, its postings less ``MATCH`` - 1, are kept. Two matching classes share at
   least one of them.
-* Skip: lists with the same members are read once. In a list, pairs that are
-  linked already are skipped, and collisions are counted for the rest only.
+* Skip: lists with the same members are read once, and so is a pair, in the first list that both are in. Pairs that
+  are linked already are skipped, and collisions are counted for the rest only.
 
-Pairs at or above the match threshold are confirmed on the full sets. MATCH lies
-far below what a pair of the least similarity reaches, so that confirming, not
-the signature, decides.
+Only classes of pairs at or above the match threshold have their full sets fetched, which confirm. MATCH lies far
+below what a pair of the least similarity reaches, so that confirming, not the signature, decides. That happens twice:
 
-Lists are read in tasks of two blocks of at most ``BLOCK`` classes (and bounded
-bytes) each; a long list is several tasks, and no pair leaves one but confirmed
-links, of which a task returns a spanning forest. Components of the links are
-found by repeatedly giving each class the least label around it, with labels
-jumping ahead; the driver holds none of them.
+* Each list's classes are compared with one of them, its hub. In a group of near copies that links most, at a
+  cost in proportion to the list, and classes linked to one hub are one label.
+* Lists of several labels are read in tasks of two blocks of at most ``BLOCK`` classes, by signatures alone. A task
+  names its classes that have a match of another label; no pair leaves it. Their sets are fetched, and tasks return
+  a spanning forest of confirmed links.
+
+Components of the links are found by repeatedly giving each class the least label around it, with labels
+jumping ahead, until none changes; the driver holds none of them.
 
 Exact copies cost one row each: signatures are combined by class before the
 shuffle, and the class of a copy is found by an equi-join that Spark can split.
@@ -40,15 +42,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
+from .tokens import slices
 
-#: Values of a signature, and collisions of a match. A pair of similarity 0.85 has fewer than 12 of 24 with probability below 1e-6.
-COORDINATES, MATCH = 24, 12
-#: Classes and bytes of shingles in a block.
-BLOCK, BLOCK_BYTES = 1024, 8_000_000
+#: Values of a signature, and collisions of a match. A pair of similarity 0.85 has fewer than 10 of 24 with probability
+#: 1.5e-7, one of 0.8 with 6.7e-6 (the binomial sum).
+COORDINATES, MATCH = 24, 10
+#: Classes in a block, of signatures or of sets, and classes that share a copy of their hub's set.
+BLOCK, WITH_HUB = 1024, 256
 
 _U = np.uint64
 _ALL = (1 << 64) - 1
@@ -116,9 +120,9 @@ def shingle_hashes(texts: list[bytes], words: int = 5) -> list[np.ndarray]:
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of COORDINATES values of 31 bits for each set; an empty set has zeros."""
+    """A row of COORDINATES values of 63 bits for each set; an empty set has zeros."""
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    out = np.zeros((len(sets), COORDINATES), np.int32)
+    out = np.zeros((len(sets), COORDINATES), np.int64)
     full = np.flatnonzero(sizes)
     if len(full):
         flat = np.concatenate([sets[k] for k in full])
@@ -127,26 +131,15 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
             x = flat * _MULTIPLY[c] + _ADD[c]
             x ^= x >> _U(32)
             x *= _U(0xD6E8FEB86659FD93)
-            out[full, c] = (np.minimum.reduceat(x >> _U(16), at) & _U(0x7FFFFFFF)).astype(np.int32)
+            out[full, c] = np.minimum.reduceat(x >> _U(1), at).astype(np.int64)
     return out
 
 
-def _parts(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    first = size = 0
-    for k, t in enumerate(texts):
-        if k > first and size + len(t) > most:
-            yield first, k
-            first, size = k, 0
-        size += len(t)
-    if first < len(texts):
-        yield first, len(texts)
-
-
 def _bytes(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
-SIGNED = "no_id boolean, text_hash long, doc_id long, n_shingles long, set1 long, set2 long, signature array<int>"
+SIGNED = "no_id boolean, text_hash long, doc_id long, n_shingles long, set1 long, set2 long, signature array<bigint>"
 
 
 def signed(docs: DataFrame) -> DataFrame:
@@ -154,21 +147,20 @@ def signed(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = _bytes(batch.column(1))
-            for a, b in _parts(texts):
-                sets = shingle_hashes(texts[a:b])
+            for a, b in slices(batch.column(1)):
+                sets = shingle_hashes(_bytes(batch.column(1).slice(a, b - a)))
                 sizes = np.fromiter(map(len, sets), np.int64, b - a)
                 one = np.array([s.sum(dtype=_U) for s in sets], _U)
                 two = np.array([_mix(s ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U) for s in sets], _U)
                 values = signatures(sets)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * COORDINATES, pa.int32()), pa.array(values.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(2)[a:b], batch.column(3)[a:b], batch.column(0)[a:b], pa.array(sizes), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), flat], ["no_id", "text_hash", "doc_id", "n_shingles", "set1", "set2", "signature"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in (2, 3, 0)), pa.array(sizes), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), flat], ["no_id", "text_hash", "doc_id", "n_shingles", "set1", "set2", "signature"])
 
     return docs.select(F.col("doc_id").cast("long"), "text", "no_id", F.xxhash64("text").alias("text_hash")).mapInArrow(run, SIGNED)
 
 
 def candidate_lists(classes: DataFrame) -> DataFrame:
-    """Members of the lists that hold all matching pairs: coordinate, value, doc_id, in_list, list_shingles.
+    """Members of the lists that hold all matching pairs: coordinate, value and doc_id.
 
     ``classes``: doc_id, n_shingles and signature, one row each.
     """
@@ -182,84 +174,158 @@ def candidate_lists(classes: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("in_list"), F.sum("n_shingles").alias("list_shingles"), mixed().alias("m1"), mixed(F.lit(1)).alias("m2"), F.min("doc_id").alias("m3")
     ).where("in_list > 1")
     once = lists.groupBy("in_list", "list_shingles", "m1", "m2", "m3").agg(F.min(F.struct("coordinate", "value")).alias("l"))
-    kept = once.select("l.coordinate", "l.value", "in_list", "list_shingles")
-    return members.select("coordinate", "value", "doc_id").join(kept, ["coordinate", "value"])
-
-
-def confirmed_links(members: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """a and b: links of pairs in a list with 100 * intersection >= ``percent`` * union, less those that follow from others."""
-    names = members.select("doc_id").distinct()
-    names = F.broadcast(names) if names.count() <= 1_000_000 else names
+    return members.select("coordinate", "value", "doc_id").join(once.select("l.coordinate", "l.value"), ["coordinate", "value"])
+
+
+def _tasks(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The rows of each task, which follow each other; the first ``keys`` columns are numbers that name it."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        names = np.stack([batch.column(k).to_numpy() for k in range(keys)], axis=1)
+        starts = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1).tolist(), len(names)]
+        for a, b in zip(starts, starts[1:]):
+            if held and tuple(names[a]) != now:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            now = tuple(names[a])
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def shingled(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """doc_id and shingles (the sorted set's bytes) of the documents in ``names``. A doc_id with different texts has a row for each."""
+    names = F.broadcast(names) if names.count() <= 1_000_000 else names  # 8 bytes each
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = _bytes(batch.column(1))
-            for a, b in _parts(texts):
-                own = shingle_hashes(texts[a:b])
-                sign, whole = signatures(own), np.array([s.sum(dtype=_U) for s in own], _U).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(whole), pa.array([s.tobytes() for s in own], pa.binary()), pa.array([s.tobytes() for s in sign], pa.binary())], ["doc_id", "own", "shingles", "signature"])
+            for a, b in slices(batch.column(1)):
+                own = shingle_hashes(_bytes(batch.column(1).slice(a, b - a)))
+                whole = np.array([s.sum(dtype=_U) for s in own], _U).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(whole), pa.array([s.tobytes() for s in own], pa.binary())], ["doc_id", "own", "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(names, "doc_id", "left_semi")
-    # repeated rows once; a doc_id with different texts has a row for each
-    hashed = texts.mapInArrow(sets, "doc_id long, own long, shingles binary, signature binary")
-    shingled = hashed.groupBy("doc_id", "own").agg(F.first(F.struct("shingles", "signature")).alias("s")).select("doc_id", "s.*")
-    blocks = F.greatest(F.ceil(F.col("in_list") / BLOCK), F.ceil(F.col("list_shingles") * 8 / BLOCK_BYTES)).cast("int")
+    hashed = texts.mapInArrow(sets, "doc_id long, own long, shingles binary")
+    return hashed.groupBy("doc_id", "own").agg(F.first("shingles").alias("shingles")).select("doc_id", "shingles")
+
+
+def _enough(a: str, b: str) -> Column:
+    """Whether two signatures collide in MATCH coordinates or more."""
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e)) >= MATCH
+
+
+def hub_links(members: DataFrame, signatures_: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """a and b: confirmed links between the classes of a list and its hub, the class with the least hash in it."""
+    hubs = members.groupBy("coordinate", "value").agg(F.min(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id")).alias("hub")).select("coordinate", "value", F.col("hub.doc_id").alias("hub"))
+    pairs = members.join(hubs, ["coordinate", "value"]).where("doc_id <> hub").select("doc_id", "hub").distinct()
+    of_hub = signatures_.select(F.col("doc_id").alias("hub"), F.col("signature").alias("hub_signature"), F.col("n_shingles").alias("hub_shingles"))
+    small, large = F.least("n_shingles", "hub_shingles"), F.greatest("n_shingles", "hub_shingles")
+    matching = pairs.join(signatures_.select("doc_id", "signature", "n_shingles"), "doc_id").join(of_hub, "hub").where((100 * small >= percent * large) & _enough("signature", "hub_signature"))
+    matched = scratch.keep(matching.select("doc_id", "hub"), "minhash-hubs")
+    with_hub = matched.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / WITH_HUB).alias("parts"))
+    dealt = matched.join(with_hub, "hub").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts"))).select("hub", "part", "doc_id", F.lit(1).alias("place"))
+    copies = with_hub.select("hub", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), F.col("hub").alias("doc_id"), F.lit(0).alias("place"))
+    names = matched.select("doc_id").union(matched.select("hub")).distinct()
+    rows = dealt.unionByName(copies).join(shingled(docs, names), "doc_id")
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for task in _tasks(batches, 2):
+            place, names = task.column("place").to_numpy(), task.column("doc_id").to_numpy()
+            sets = [np.frombuffer(x.as_buffer(), _U) for x in task.column("shingles")]
+            found = []
+            for k in np.flatnonzero(place == 1).tolist():
+                for j in np.flatnonzero(place == 0).tolist():  # one, but for a repeated doc_id
+                    if _alike(sets[k], sets[j], percent):
+                        found.append((int(names[k]), int(names[j])))
+                        break
+            yield _pairs(found)
+
+    ordered = rows.repartition(F.col("hub"), F.col("part")).sortWithinPartitions("hub", "part", "place")
+    return ordered.select("hub", "part", "place", "doc_id", "shingles").mapInArrow(confirm, "a long, b long")
+
+
+def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= ``percent`` * union."""
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
+
+def confirmed_links(members: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """a and b: links of pairs in a list with 100 * intersection >= ``percent`` * union, less those that follow from others."""
+    masks = members.groupBy("doc_id").agg(F.expr("bit_or(shiftleft(1, coordinate))").alias("mask"))
+    signatures_ = scratch.keep(classes.join(masks, "doc_id").select("doc_id", "n_shingles", "mask", "signature"), "minhash-signatures")
+    near = scratch.keep(hub_links(members, signatures_, docs, percent), "minhash-near")
+    labels = near.groupBy(F.col("a").alias("doc_id")).agg(F.min("b").alias("label"))
+    labelled = members.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    open_ = labelled.groupBy("coordinate", "value").agg(F.count(F.lit(1)).alias("in_list"), F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most")
     dealt = (
-        members.withColumn("blocks", blocks)
+        labelled.select("coordinate", "value", "doc_id", "label").join(open_.select("coordinate", "value", "in_list"), ["coordinate", "value"])
+        .withColumn("blocks", F.ceil(F.col("in_list") / BLOCK).cast("int"))
         .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("coordinate", "value", "doc_id", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block")
+        .select("coordinate", "value", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "doc_id", "label")
     )
-    tasks = dealt.join(shingled, "doc_id").withColumn("task", F.xxhash64("coordinate", "value", "x", "y"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = tasks.repartition(parts, "task").sortWithinPartitions("task", "coordinate", "value", "x", "y")
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now: tuple | None = None
-        held: list[tuple] = []
-        out: list[tuple[int, int]] = []
-        for batch in batches:
-            for c, v, x, y, block, doc, shingles, sign in zip(*(col.to_pylist() for col in batch.columns)):
-                if (c, v, x, y) != now:
-                    out += _links(held, percent)
-                    now, held = (c, v, x, y), []
-                held.append((block, doc, shingles, sign))
-            if len(out) > 10_000:
-                yield _pairs(out)
-                out = []
-        yield _pairs(out + _links(held, percent))
+    keys = ["coordinate", "value", "x", "y"]
+    tasks = dealt.join(signatures_, "doc_id").repartition(*map(F.col, keys)).sortWithinPartitions(*keys, "block", "doc_id")
 
-    return ordered.select("coordinate", "value", "x", "y", "block", "doc_id", "shingles", "signature").mapInArrow(link, "a long, b long")
+    def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for task in _tasks(batches, 4):
+            left, right, match = _matches(task, percent)
+            busy = np.unique(np.concatenate([left[match.any(1)], right[match.any(0)]]))
+            columns = ["coordinate", "value", "x", "y", "block", "doc_id", "label", "mask", "n_shingles", "signature"]
+            for batch in task.select(columns).take(pa.array(busy)).to_batches():
+                yield batch
 
+    columns = "coordinate int, value long, x int, y int, block int, doc_id long, label long, mask int, n_shingles long, signature array<bigint>"
+    busy = scratch.keep(tasks.select(*keys, "block", "doc_id", "label", "mask", "n_shingles", "signature").mapInArrow(matched, columns), "minhash-busy")
+    again = busy.join(shingled(docs, busy.select("doc_id").distinct()), "doc_id").repartition(*map(F.col, keys)).sortWithinPartitions(*keys, "block", "doc_id")
 
-def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for task in _tasks(batches, 4):
+            yield _pairs(_links(task, percent))
 
+    return near.unionByName(again.select(*keys, "block", "doc_id", "label", "mask", "n_shingles", "signature", "shingles").mapInArrow(link, "a long, b long"))
 
-def _links(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
-    """Links among the rows (block, doc_id, shingles, signature) of a task, as a spanning forest.
 
-    Pairs inside a block belong to the task of that block alone.
-    """
-    if len(rows) < 2:
-        return []
-    rows = sorted(rows)
-    block = np.array([r[0] for r in rows])
-    docs = [r[1] for r in rows]
-    sign = np.array([np.frombuffer(r[3], np.int32) for r in rows])
-    sets = [np.frombuffer(r[2], _U) for r in rows]
-    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    cut = int(np.searchsorted(block, block[-1])) if block[0] != block[-1] else 0
-    left, right = (np.arange(cut), np.arange(cut, len(rows))) if cut else (np.arange(len(rows)),) * 2
-    met = np.zeros((len(left), len(right)), np.uint8)
+def _matches(task: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two blocks' rows, and which pairs of them match, have different labels, and are met first in this list."""
+    block, coordinate = task.column("block").to_numpy(), task.column("coordinate")[0].as_py()
+    sign = task.column("signature").combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
+    label, mask, sizes = (task.column(c).to_numpy() for c in ("label", "mask", "n_shingles"))
+    n = len(block)
+    cut = int(np.searchsorted(block, block[-1])) if task.column("x")[0] != task.column("y")[0] else 0
+    left, right = (np.arange(cut), np.arange(cut, n)) if cut else (np.arange(n),) * 2
+    met, first = np.zeros((len(left), len(right)), np.uint8), np.ones((len(left), len(right)), bool)
     for c in range(COORDINATES):
-        met += sign[left, c][:, None] == sign[right, c][None, :]
+        same = sign[left, c][:, None] == sign[right, c][None, :]
+        met += same
+        if c < coordinate:  # a pair belongs to the first list that both are in
+            first &= ~(same & (((mask[left] >> c) & 1)[:, None] & ((mask[right] >> c) & 1)[None, :]).astype(bool))
     smaller, larger = np.minimum(sizes[left][:, None], sizes[right][None, :]), np.maximum(sizes[left][:, None], sizes[right][None, :])
-    match = (met >= MATCH) & (100 * smaller >= percent * larger)
+    match = (met >= MATCH) & first & (label[left][:, None] != label[right][None, :]) & (100 * smaller >= percent * larger)
     if not cut:
-        match = np.triu(match, 1)
+        match = np.triu(match, 1) if task.column("x")[0] == task.column("y")[0] else np.zeros_like(match)
+    return left, right, match
+
+
+def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])
+
+
+def _links(task: pa.Table, percent: int) -> list[tuple[int, int]]:
+    """Confirmed links among the rows of a task, as a spanning forest. Pairs inside a block belong to the task of that block alone."""
+    left, right, match = _matches(task, percent)
     if not match.any():
         return []
+    docs = task.column("doc_id").to_pylist()
+    sets = [np.frombuffer(x.as_buffer(), _U) for x in task.column("shingles")]
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    rows = docs
     root = list(range(len(rows)))
 
     def find(k: int) -> int:
@@ -306,7 +372,7 @@ def _links(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
     return found
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """doc_id and component_id (the least doc_id reachable) of every end of a link.
 
     Each round gives every end the least label among its own and its neighbours',
@@ -314,7 +380,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """
     both = scratch.keep(links.union(links.select("b", "a")).toDF("a", "b").where("a <> b").distinct(), "links")
     labels = scratch.keep(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).withColumnRenamed("a", "doc_id"), "labels")
-    for _ in range(rounds):
+    while True:
         around = both.join(labels.withColumnRenamed("doc_id", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
         spread = labels.join(around, labels["doc_id"] == around["a"]).select("doc_id", "label", F.least("label", "near").alias("next"))
         jump = labels.select(F.col("doc_id").alias("next"), F.col("label").alias("ahead"))
@@ -323,7 +389,6 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         labels = new.select("doc_id", "label")
         if not changed:
             return labels.withColumnRenamed("label", "component_id")
-    raise RuntimeError(f"components are open after {rounds} rounds")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, with_hash: bool = False) -> DataFrame:
@@ -335,7 +400,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, with_hash: bool = False)
     key = ["n_shingles", "set1", "set2"]
     classes = scratch.keep(full.groupBy(*key).agg(F.min(F.struct("doc_id", "signature")).alias("c")).select(*key, "c.doc_id", "c.signature"), "classes")
     lists = scratch.keep(candidate_lists(classes.select("doc_id", "n_shingles", "signature")), "minhash-members")
-    links = confirmed_links(lists, docs, percent)
+    links = confirmed_links(lists, classes.select("doc_id", "n_shingles", "signature"), docs, percent)
     of_copies = full.join(classes.select(*key, F.col("doc_id").alias("first")), key).select("doc_id", "first")
     of_rows = scratch.keep(of_copies, "copies")
     several = of_rows.groupBy("doc_id").agg(F.min("first").alias("least")).join(of_rows, "doc_id").where("first <> least").select(F.col("least").alias("a"), F.col("first").alias("b"))
