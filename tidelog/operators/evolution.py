@@ -108,3 +108,48 @@ def valid_key(key: Column) -> Column:
 def subscription_key(app: Column, group: Column, event_types: Column) -> Column:
     """What a subscription is unique by."""
     return F.md5(F.concat(app, group, F.array_join(F.array_sort(event_types), "")).cast("binary"))
+
+
+#: Which compatibility mode may become which.
+MODE_CHANGES = (("COMPATIBLE", "COMPATIBLE"), ("FORWARD", "FORWARD"), ("FORWARD", "COMPATIBLE"), ("NONE", "NONE"), ("NONE", "FORWARD"))
+
+
+def type_level(was: Column, is_: Column, equal: Column) -> Column:
+    """The level of a change between schema types JSON and AVRO, or FORBIDDEN; null between two JSON ones, which their diff decides."""
+    return (
+        F.when((was == "AVRO") & (is_ == "JSON"), "FORBIDDEN").when((was == "JSON") & (is_ == "AVRO"), "MAJOR")
+        .when((was == "AVRO") & (is_ == "AVRO"), F.when(equal, "NO_CHANGES").otherwise("MAJOR"))
+    )
+
+
+def constraint_errors(admin: Column, type_admin: Column) -> Column:
+    """What an update of an event type breaks: an array of names. Columns old_* and new_* of category, mode, strategy, keys and enrichment.
+
+    Administrators may change mode and strategy, those of the event type the mode alone.
+    """
+    modes = [(F.col("old_mode") == a) & (F.col("new_mode") == b) for a, b in MODE_CHANGES]
+    allowed = modes[0]
+    for m in modes[1:]:
+        allowed = allowed | m
+    found = {
+        "CATEGORY_CHANGED": F.col("old_category") != F.col("new_category"),
+        "MODE_CHANGED": ~allowed & ~admin & ~type_admin,
+        "STRATEGY_CHANGED": (F.col("old_strategy") != "random") & (F.col("new_strategy") != F.col("old_strategy")) & ~admin,
+        "KEYS_MISSING": (F.col("new_strategy") == "hash") & (F.size("new_keys") == 0),
+        "ENRICHMENT_CHANGED": F.col("old_enrichment") != F.col("new_enrichment"),
+    }
+    return F.array_compact(F.array(*[F.when(broken, name) for name, broken in found.items()]))
+
+
+def catalog_errors(min_retention: int, max_retention: int) -> Column:
+    """What an update breaks in the catalog: an array of names. Columns old_* and new_* of policy, statistic and audience; category and retention."""
+    policy, before = F.col("new_policy"), F.col("old_policy")
+    found = {
+        "COMPACTION_OF_UNDEFINED": (F.col("category") == "UNDEFINED") & policy.isin("COMPACT", "COMPACT_AND_DELETE"),
+        "POLICY_CHANGED": (policy != before) & ~((before == "DELETE") & (policy == "COMPACT_AND_DELETE")),
+        "STATISTIC_CHANGED": F.col("new_statistic").isNotNull() & ~F.col("new_statistic").eqNullSafe(F.col("old_statistic")),
+        "AUDIENCE_REMOVED": F.col("old_audience").isNotNull() & F.col("new_audience").isNull(),
+        "RETENTION_TOO_LONG": F.col("retention") > max_retention,
+        "RETENTION_TOO_SHORT": F.col("retention") < min_retention,
+    }
+    return F.array_compact(F.array(*[F.when(broken, name) for name, broken in found.items()]))
