@@ -9,11 +9,17 @@ from pyspark.sql import functions as F
 
 _MASK = 0xFFFFFFFF
 
-#: Letters of currencies in use (ISO 4217, fixed values).
+#: Alphabetic codes of currencies, funds and metals (ISO 4217, fixed values).
 CURRENCIES = (
-    "AED AUD BRL CAD CHF CNY CZK DKK EUR GBP HKD HUF IDR ILS INR JPY KRW MXN MYR NOK NZD PHP PLN RON RUB SEK SGD THB TRY TWD UAH USD ZAR"
+    "AED AFN ALL AMD ANG AOA ARS AUD AWG AZN BAM BBD BDT BGN BHD BIF BMD BND BOB BOV BRL BSD BTN BWP BYN BZD CAD CDF CHE CHF "
+    "CHW CLF CLP CNY COP COU CRC CUP CVE CZK DJF DKK DOP DZD EGP ERN ETB EUR FJD FKP GBP GEL GHS GIP GMD GNF GTQ GYD HKD HNL "
+    "HTG HUF IDR ILS INR IQD IRR ISK JMD JOD JPY KES KGS KHR KMF KPW KRW KWD KYD KZT LAK LBP LKR LRD LSL LYD MAD MDL MGA MKD "
+    "MMK MNT MOP MRU MUR MVR MWK MXN MXV MYR MZN NAD NGN NIO NOK NPR NZD OMR PAB PEN PGK PHP PKR PLN PYG QAR RON RSD RUB RWF "
+    "SAR SBD SCR SDG SEK SGD SHP SLE SOS SRD SSP STN SVC SYP SZL THB TJS TMT TND TOP TRY TTD TWD TZS UAH UGX USD USN UYI UYU "
+    "UYW UZS VED VES VND VUV WST XAF XAG XAU XBA XBB XBC XBD XCD XDR XOF XPD XPF XPT XSU XTS XUA XXX YER ZAR ZMW ZWG"
 ).split()
 
+# Forms of ids, times and names.
 UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 DATE_TIME = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})$"
 EVENT_TYPE_NAME = r"^[a-zA-Z][-0-9a-zA-Z_]*(\.[0-9a-zA-Z][-0-9a-zA-Z_]*)*$"
@@ -154,3 +160,18 @@ def size_bucket(size: Column) -> Column:
 def lag_seconds(since: Column, as_of: Column) -> Column:
     """Whole seconds from a time to another."""
     return F.floor((F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(since.cast("timestamp"))) / 1_000_000).cast("long")
+
+
+def order_text(order: Column) -> Column:
+    """A timeline's order as in cursors: hexadecimal, four digits at least."""
+    return pad_left(F.lower(F.hex(order)), 4)
+
+
+def order_of(text: Column) -> Column:
+    """The order that a hexadecimal text stands for."""
+    return F.conv(text, 16, 10).cast("long")
+
+
+def compact_json(text: Column) -> Column:
+    """A JSON text without the white space outside its strings."""
+    return F.regexp_replace(text, r'("(?:[^"\\]|\\.)*")|[ \t\n\r]+', "$1")

@@ -16,10 +16,26 @@ def parse(text: Column) -> Column:
     return F.try_parse_json(text)
 
 
-def is_strict(text: Column) -> Column:
-    """Whether a text is one strict JSON object with nothing behind it."""
-    whole = text.rlike(r"^\s*\{[\s\S]*\}\s*$") & ~text.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F]") & ~text.rlike(r",\s*[}\]]")
-    return F.coalesce(whole & F.try_parse_json(text).isNotNull(), F.lit(False))
+_STRING = r'"(?:[^"\\]|\\[\s\S])*"'
+
+
+def is_strict(text: Column, allow_more: bool = False) -> Column:
+    """Whether a text is one strict JSON object with nothing behind it, or with anything behind it if ``allow_more``.
+
+    Refused: control characters in strings, trailing commas, repeated keys, whole numbers beyond 64 bits and infinite ones.
+    Allowed beyond plain JSON: leading zeros, a number that ends in its point, and the escape of a single quote.
+    """
+    plain = F.regexp_replace(text, rf"({_STRING})|(?<![0-9.])0+(?=[0-9])", "$1")
+    plain = F.regexp_replace(plain, r"(?<=[0-9])\.(?=[eE,}\]\s]|$)", ".0")
+    plain = F.regexp_replace(plain, r"(?<!\\)((?:\\\\)*)\\'", "$1'")
+    bare = F.regexp_replace(text, _STRING, '""')
+    whole = F.regexp_extract_all(bare, F.lit(r"(?<![0-9.eE+-])(-?[0-9]+)(?![0-9.eE+-])"), F.lit(1))
+    broken = F.regexp_extract_all(bare, F.lit(r"(?<![0-9.eE+-])(-?[0-9]+(?:\.[0-9]*)?(?:[eE][+-]?[0-9]+)?)(?![0-9.eE+-])"), F.lit(1))
+    in_range = ~F.exists(whole, lambda n: n.try_cast("bigint").isNull()) & ~F.exists(broken, lambda n: F.abs(n.try_cast("double")) == F.lit(float("inf")))
+    parses = F.try_parse_json(plain).isNotNull()
+    if not allow_more:  # what follows the object would break one of these
+        parses = parses & F.try_parse_json(F.concat(F.lit("["), plain, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"x":'), plain, F.lit("}"))).isNotNull()
+    return F.coalesce(text.rlike(r"^\s*\{") & parses & in_range, F.lit(False))
 
 
 _KINDS = {"object": "^OBJECT", "array": "^ARRAY", "string": "^STRING$", "boolean": "^BOOLEAN$", "null": "^VOID$", "integer": "^BIGINT$", "number": r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"}
@@ -119,10 +135,13 @@ def planned_partitions(read: Column, write: Column, most: int, default: int) ->
 
 
 def enrich(text: Column, fields: dict[str, Column]) -> Column:
-    """The metadata of the event with ``fields`` set, as a map; its flow_id stays if it has one."""
-    old = F.coalesce(F.from_json(F.get_json_object(text, "$.metadata"), "map<string,string>"), F.create_map().cast("map<string,string>"))
-    new = F.create_map(*[x for k, v in fields.items() for x in (F.lit(k), v.cast("string"))])
-    has_flow = F.coalesce(F.element_at(old, "flow_id"), F.lit("")) != ""
+    """The metadata of the event with ``fields`` set, as a map of variants, so arrays, objects and numbers stay what they are.
+
+    Its flow_id stays if it has one.
+    """
+    old = F.coalesce(F.from_json(F.get_json_object(text, "$.metadata"), "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    new = F.create_map(*[x for k, v in fields.items() for x in (F.lit(k), v.cast("variant"))])
+    has_flow = F.coalesce(F.try_variant_get(F.element_at(old, "flow_id"), "$", "string"), F.lit("")) != ""
     wanted = F.map_filter(new, lambda k, _: ~((k == "flow_id") & has_flow))
     return F.map_concat(F.map_filter(old, lambda k, _: ~F.array_contains(F.map_keys(wanted), k)), wanted)
 
@@ -154,6 +173,18 @@ def batch_status(results: DataFrame) -> DataFrame:
     return results.groupBy("batch_id").agg(F.when(any_("FAILED"), "FAILED").when(any_("ABORTED"), "ABORTED").otherwise("SUBMITTED").alias("status"))
 
 
+def appended(results: DataFrame, lost: Column) -> DataFrame:
+    """Results of :func:`publish` after the append: items that the log lost are FAILED at PUBLISHING."""
+    return results.withColumn("status", F.when((F.col("step") == "PUBLISHING") & lost, "FAILED").otherwise(F.col("status")))
+
+
+def publish_status(results: DataFrame) -> DataFrame:
+    """Each batch's outcome by its items' status and step: FAILED if the log lost items, ABORTED if it was stopped before the log, else SUBMITTED."""
+    lost = F.bool_or((F.col("status") == "FAILED") & (F.col("step") == "PUBLISHING"))
+    stopped = F.bool_or(F.col("step") != "PUBLISHING")
+    return results.groupBy("batch_id").agg(F.when(lost, "FAILED").when(stopped, "ABORTED").otherwise("SUBMITTED").alias("status"))
+
+
 def response_code(status: Column) -> Column:
     """The HTTP code of a batch's outcome."""
     return F.when(status == "SUBMITTED", 200).when(status == "ABORTED", 422).otherwise(207)

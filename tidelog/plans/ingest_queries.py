@@ -27,7 +27,7 @@ def items_of(spark, sf_dir):
     e = F.col("event_id")
     lit = F.lit
     dated = F.when(e % 89 == 5, "yesterday").otherwise("2024-01-05T10:00:00Z")
-    meta = F.concat(lit('{"metadata":{"eid":"00000000-0000-0000-0000-'), F.lpad(e.cast("string"), 12, "0"), lit('","occurred_at":"'), dated, lit('"}'))
+    meta = F.concat(lit('{"metadata":{"eid":"00000000-0000-0000-0000-'), F.lpad(e.cast("string"), 12, "0"), lit('","occurred_at":"'), dated, lit('","parent_eids":["a","b"],"n":5}'))
     user = F.when(e % 83 == 7, "").otherwise(F.concat(lit(',"user":"u'), "user_id", lit('"')))
     pad = F.when(e % 79 == 9, F.concat(lit(',"pad":"'), F.repeat(lit("x"), 300), lit('"'))).otherwise("")
     k = F.get_json_object("props", "$.k")
@@ -55,17 +55,31 @@ def p01(spark, sf_dir):
     return _results(spark, sf_dir).select("batch_id", "idx", "status", "step")
 
 
-@query("P02_response_codes", _RESULTS + ", b AS (SELECT batch_id, bool_or(status = 'FAILED') AS bad FROM r GROUP BY 1) SELECT CASE WHEN bad THEN 422 ELSE 200 END AS code, count(*) AS n FROM b GROUP BY 1")
+@query("P02_response_codes", _RESULTS + ", b AS (SELECT batch_id, bool_or(status = 'FAILED') AS stopped, bool_or((batch_id * 50 + idx) % 173 = 0) AS lost FROM r GROUP BY 1) SELECT CASE WHEN stopped THEN 422 WHEN lost THEN 207 ELSE 200 END AS code, count(*) AS n FROM b GROUP BY 1")
 def p02(spark, sf_dir):
-    # a batch stopped before the log is ABORTED as a whole
-    batches = ingest.batch_status(_results(spark, sf_dir)).withColumn("status", F.when(F.col("status") == "FAILED", "ABORTED").otherwise(F.col("status")))
+    batches = ingest.publish_status(ingest.appended(_results(spark, sf_dir), F.col("event_id") % 173 == 0))
     return batches.groupBy(ingest.response_code(F.col("status")).alias("code")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("P03_strict_parse", "WITH t(t) AS (VALUES ('{\"a\":1}'), ('{\"a\":1} x'), ('{\"a\":1,}'), ('{\"a\":1,\"a\":2}'), ('[1]'), ('{\"a\":\"b\tc\"}'), ('{}'), ('{\"a\":tru}'), ('')) SELECT t, t IN ('{\"a\":1}', '{}') AS strict FROM t")
+#: Texts, whether they are strict, and whether they are with something behind them.
+_TEXTS = (
+    ('{"a":1}', True, True), ('{"a":1} x', False, True), ('{"a":1}{"b":2}', False, True), ('{"a":1}}', False, True), ('{"a":1}]', False, True), ('{"a":1},{"b":2}', False, True),
+    ('{"a":1,}', False, False), ('{"a":[1,]}', False, False), ('{"a":1,"a":2}', False, False), ("[1]", False, False), ('{"a":"b\tc"}', False, False), ('{\t"a":\n1}', True, True),
+    ("{}", True, True), ('{"a":tru}', False, False), ("", False, False), ('{"a":",}"}', True, True), ('{"a":"x, ]"}', True, True), ('{"a":01}', True, True), ('{"a":-0}', True, True),
+    ('{"a":9223372036854775807}', True, True), ('{"a":9223372036854775808}', False, False), ('{"a":1e308}', True, True), ('{"a":1e309}', False, False), ('{"a":1.}', True, True),
+    ('{"a":.5}', False, False), ('{"a":"\\\'"}', True, True), ('{"a":"\\x"}', False, False), ('{"a":{"b":[null,true,{}]}}', True, True), ('{"a":{"b":1,"b":1}}', False, False), ('{"01":1,"1":2}', True, True),
+)
+
+
+def _cases(values) -> str:
+    return "CASE event_id % {} {} END".format(len(_TEXTS), " ".join(f"WHEN {k} THEN {v}" for k, v in enumerate(values)))
+
+
+@query("P03_strict_parse", f"WITH x AS (SELECT 1) SELECT event_id, {_cases([t[1] for t in _TEXTS])} AS strict, {_cases([t[2] for t in _TEXTS])} AS strict_in_front FROM events")
 def p03(spark, sf_dir):
-    texts = ['{"a":1}', '{"a":1} x', '{"a":1,}', '{"a":1,"a":2}', "[1]", '{"a":"b\tc"}', "{}", '{"a":tru}', ""]
-    return spark.createDataFrame([(t,) for t in texts], "t string").withColumn("strict", ingest.is_strict(F.col("t")) & ~F.contains("t", F.lit("\t")))
+    text = F.element_at(F.array(*[F.lit(t) for t, _, _ in _TEXTS]), (F.col("event_id") % len(_TEXTS) + 1).cast("int"))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", text.alias("t"))
+    return rows.select("event_id", ingest.is_strict(F.col("t")).alias("strict"), ingest.is_strict(F.col("t"), allow_more=True).alias("strict_in_front"))
 
 
 @query("P04_schema_validation", _ITEMS + "SELECT event_id, NOT unfit AS valid FROM w")
@@ -83,9 +97,9 @@ def p06(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").where(ingest.too_large(F.col("text"), 5000)).select("doc_id")
 
 
-@query("P07_delete_guard", _ITEMS + "SELECT event_id, CAST(NULL AS VARCHAR) AS value, event_type IN ('click', 'view') AS allowed FROM w WHERE event_id % 10 = 0")
+@query("P07_delete_guard", _ITEMS + "SELECT event_id, CAST(NULL AS VARCHAR) AS value, event_type IN ('click', 'view') AS allowed FROM w")
 def p07(spark, sf_dir):
-    rows = items_of(spark, sf_dir).where("event_id % 10 = 0")
+    rows = items_of(spark, sf_dir)
     return rows.select("event_id", F.lit(None).cast("string").alias("value"), F.col("event_type").isin("click", "view").alias("allowed"))
 
 
@@ -154,11 +168,17 @@ def p18(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", ingest.planned_partitions(e % 13 - 3, e % 5 - 2, 8, 1).cast("long").alias("partitions"))
 
 
-@query("P19_metadata_enrichment", _ITEMS + "SELECT event_id, 'app-1' AS published_by, '2024-02-01T00:00:00Z' AS received_at, event_type AS enriched_type, 'flow' AS flow_id FROM w WHERE NOT broken")
+_META = """'{"eid":"00000000-0000-0000-0000-' || lpad(CAST(event_id AS VARCHAR), 12, '0') || '","occurred_at":"' || CASE WHEN undated THEN 'yesterday' ELSE '2024-01-05T10:00:00Z' END || '","parent_eids":["a","b"],"n":5,"published_by":"app-1'"""
+
+
+@query("P19_metadata_enrichment", _ITEMS + f"""SELECT event_id, {_META} || '","received_at":"2024-02-01T00:00:00Z","event_type":"' || event_type || '","flow_id":"flow","partition":"' || (event_id % 8) || '","version":"1.0.0"}}' AS metadata FROM w WHERE NOT broken""")
 def p19(spark, sf_dir):
-    fields = {"published_by": F.lit("app-1"), "received_at": F.lit("2024-02-01T00:00:00Z"), "event_type": F.col("event_type"), "flow_id": F.lit("flow")}
-    rows = items_of(spark, sf_dir).where("event_id % 97 <> 3").select("event_id", ingest.enrich(F.col("text"), fields).alias("m"))
-    return rows.select("event_id", F.col("m")["published_by"].alias("published_by"), F.col("m")["received_at"].alias("received_at"), F.col("m")["event_type"].alias("enriched_type"), F.col("m")["flow_id"].alias("flow_id"))
+    fields = {
+        "published_by": F.lit("app-1"), "received_at": F.lit("2024-02-01T00:00:00Z"), "event_type": F.col("event_type"), "flow_id": F.lit("flow"),
+        "partition": (F.col("event_id") % 8).cast("string"), "version": F.lit("1.0.0"),
+    }
+    rows = items_of(spark, sf_dir).where("event_id % 97 <> 3")
+    return rows.select("event_id", F.to_json(ingest.enrich(F.col("text"), fields)).alias("metadata"))
 
 
 @query("P20_enrichment_rules", "WITH s(category, n, d) AS (VALUES ('UNDEFINED', 0, 0), ('UNDEFINED', 1, 1), ('DATA', 1, 1), ('DATA', 0, 0), ('BUSINESS', 2, 1)) SELECT category, n, CASE WHEN category = 'UNDEFINED' AND n > 0 THEN 'NOT_FOR_UNDEFINED' WHEN category <> 'UNDEFINED' AND n = 0 THEN 'MISSING' WHEN n > d THEN 'REPEATED' END AS error FROM s")
@@ -170,11 +190,18 @@ def p20(spark, sf_dir):
     return rows.select("category", n.alias("n"), error.alias("error"))
 
 
-@query("P21_metadata_injection", _ITEMS + "SELECT event_id, 'app-1' AS published_by, CASE WHEN NOT nameless THEN 'u' || user_id END AS name, k FROM w WHERE NOT broken")
+@query("P21_metadata_injection", _ITEMS + f"""SELECT event_id, '{{"metadata":' || {_META} || '"}}' || CASE WHEN nameless THEN '' ELSE ',"user":"u' || user_id || '"' END || ',"k":' || k || CASE WHEN large THEN ',"pad":"' || repeat('x', 300) || '"' ELSE '' END || '}}' AS event FROM w WHERE NOT broken""")
 def p21(spark, sf_dir):
     rows = items_of(spark, sf_dir).where("event_id % 97 <> 3")
-    out = rows.select("event_id", ingest.with_metadata(F.col("text"), ingest.enrich(F.col("text"), {"published_by": F.lit("app-1")})).alias("t"))
-    return out.select("event_id", scalars.json_path(F.col("t"), "metadata.published_by").alias("published_by"), scalars.json_path(F.col("t"), "user").alias("name"), scalars.json_path(F.col("t"), "k").cast("long").alias("k"))
+    return rows.select("event_id", ingest.with_metadata(F.col("text"), ingest.enrich(F.col("text"), {"published_by": F.lit("app-1")})).alias("event"))
+
+
+@query("F12_metadata_merge", "WITH x AS (SELECT 1) SELECT event_id, '{\"flow_id\":' || CASE WHEN event_id % 3 = 0 THEN '\"own\"' ELSE '\"f\"' END || ',\"span\":{\"a\":[1,2]},\"event_type\":\"' || event_type || '\"}' AS merged FROM events WHERE event_id % 3 = 0 UNION ALL SELECT event_id, '{\"span\":{\"a\":[1,2]},\"flow_id\":\"f\",\"event_type\":\"' || event_type || '\"}' FROM events WHERE event_id % 3 <> 0")
+def f12(spark, sf_dir):
+    flow = F.when(F.col("event_id") % 3 == 0, '"flow_id":"own",').when(F.col("event_id") % 3 == 1, '"flow_id":"",').otherwise("")
+    text = F.concat(F.lit('{"metadata":{'), flow, F.lit('"span":{"a":[1, 2]}}}'))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return rows.select("event_id", F.to_json(ingest.enrich(text, {"flow_id": F.lit("f"), "event_type": F.col("event_type")})).alias("merged"))
 
 
 @query("P22_owner", _ITEMS + "SELECT event_id, CASE WHEN NOT broken AND NOT nameless THEN 'user' END AS owner_name, CASE WHEN NOT broken AND NOT nameless THEN 'u' || user_id END AS owner_value FROM w")
