@@ -35,20 +35,24 @@ def first_events(log: DataFrame, limit: int, order: list[str]) -> DataFrame:
     return log.orderBy(*order).limit(limit)
 
 
-def within_window(log: DataFrame, committed: DataFrame, most: int) -> DataFrame:
-    """Events that may be sent while at most ``most`` are uncommitted in each partition."""
-    return log.join(F.broadcast(committed), "partition").where((F.col("offset") > F.col("committed")) & (F.col("offset") <= F.col("committed") + most))
+def within_window(log: DataFrame, committed: DataFrame, most: int, order: list[str], uncommitted: int = 0) -> DataFrame:
+    """Events behind the commits that may be sent, in read order, while at most ``most`` of the stream are uncommitted.
+
+    The cap holds for the sum over all partitions; ``uncommitted`` were sent before. A top-k, not a sort of the log.
+    """
+    behind = log.join(F.broadcast(committed), "partition").where("offset > committed")
+    return behind.orderBy(*order).limit(max(0, most - uncommitted))
 
 
 def idle_runs(batches: DataFrame, by: str, order: str, size: str) -> DataFrame:
     """The length of each partition's last run of empty batches."""
-    last_full = batches.groupBy(by).agg(F.max(F.when(F.col(size) > 0, F.col(order))).alias("_full"), F.max(order).alias("_end"))
-    return last_full.select(by, (F.col("_end") - F.coalesce("_full", F.lit(-1))).alias("empties"))
+    last_full = batches.groupBy(by).agg(F.max(F.when(F.col(size) > 0, F.col(order))).alias("_full"), F.max(order).alias("_end"), F.min(order).alias("_begin"))
+    return last_full.select(by, (F.col("_end") - F.coalesce("_full", F.col("_begin") - 1)).alias("empties"))
 
 
 def visible(log: DataFrame, subscription: str, denied: DataFrame, on: list[str]) -> DataFrame:
-    """Events not tagged for another subscription and not of a denied owner."""
-    return log.where(F.col("tag").isNull() | (F.col("tag") == subscription)).join(F.broadcast(denied), on, "left_anti")
+    """Events not tagged for another subscription and not of a denied owner. The owners may be many."""
+    return log.where(F.col("tag").isNull() | (F.col("tag") == subscription)).join(denied, on, "left_anti")
 
 
 def skip_lost(committed: DataFrame, stats: DataFrame) -> DataFrame:
@@ -60,29 +64,40 @@ def skip_lost(committed: DataFrame, stats: DataFrame) -> DataFrame:
 SPAN = "partition int, batch_no long, first_offset long, last_offset long, n long"
 
 
-def span_fold(times: list[float], span: float, drain: bool = False) -> list[int]:
-    """Sizes of the batches that an event-time span gives, in order of arrival.
+class SpanFold:
+    """Batches of a partition by event-time span, in order of arrival.
 
     A batch is due when the newest buffered event reaches the end of the window that the
     first one opened; it takes the leading events before that end, at least one, and the
-    next window begins at the later of that end and the last taken time. ``drain`` gives the rest as a last batch.
+    next window begins at the later of that end and the last taken time.
     """
-    sizes, buffer, end = [], [], None
-    for t in times:
-        if end is None:
-            end = t + span
-        buffer.append(t)
-        while buffer and buffer[-1] >= end:
-            n = 1
-            while n < len(buffer) and buffer[n] < end:
-                n += 1
-            n = n if buffer[0] < end else 1
+
+    def __init__(self, span: float):
+        self.span, self.buffer, self.end = span, [], None
+
+    def add(self, time: float) -> list[int]:
+        """The sizes of the batches that an event at ``time`` makes due."""
+        sizes = []
+        if self.end is None:
+            self.end = time + self.span
+        self.buffer.append(time)
+        while self.buffer and self.buffer[-1] >= self.end:
+            n = next((k for k, t in enumerate(self.buffer) if t >= self.end), len(self.buffer)) or 1
             sizes.append(n)
-            end = max(end, buffer[n - 1]) + span
-            buffer = buffer[n:]
-    if drain and buffer:
-        sizes.append(len(buffer))
-    return sizes
+            self.end = max(self.end, self.buffer[n - 1]) + self.span
+            self.buffer = self.buffer[n:]
+        return sizes
+
+    def rest(self) -> list[int]:
+        """The size of the open batch, if there is one."""
+        return [len(self.buffer)] if self.buffer else []
+
+
+def span_fold(times: list[float], span: float, drain: bool = False) -> list[int]:
+    """Sizes of the batches of one partition; ``drain`` gives the open one as a last batch."""
+    fold = SpanFold(span)
+    sizes = [n for t in times for n in fold.add(t)]
+    return sizes + (fold.rest() if drain else [])
 
 
 def by_span(log: DataFrame, seconds: float) -> DataFrame:
@@ -92,26 +107,25 @@ def by_span(log: DataFrame, seconds: float) -> DataFrame:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, buffer, end, number, first = None, [], None, 0, 0
+        now, fold, number, first = None, SpanFold(seconds), 0, 0
+
+        def rows(sizes: list[int]) -> list[tuple]:
+            nonlocal number, first
+            out = []
+            for n in sizes:
+                out.append((now, number, first, first + n - 1, n))
+                number, first = number + 1, first + n
+            return out
+
         for pdf in batches:
             out = []
             for p, offset, t in zip(pdf["partition"], pdf["offset"], pdf["seconds"]):
                 if p != now:
-                    if buffer:
-                        out.append((now, number, first, first + len(buffer) - 1, len(buffer)))
-                    now, buffer, end, number, first = p, [], t + seconds, 0, offset
-                buffer.append(t)
-                while buffer and buffer[-1] >= end:
-                    n = 1
-                    while n < len(buffer) and buffer[n] < end:
-                        n += 1
-                    n = n if buffer[0] < end else 1
-                    out.append((now, number, first, first + n - 1, n))
-                    end, first, number = max(end, buffer[n - 1]) + seconds, first + n, number + 1
-                    buffer = buffer[n:]
+                    out += rows(fold.rest())
+                    now, fold, number, first = p, SpanFold(seconds), 0, offset
+                out += rows(fold.add(t))
             yield pd.DataFrame(out, columns=["partition", "batch_no", "first_offset", "last_offset", "n"])
-        if buffer:
-            yield pd.DataFrame([(now, number, first, first + len(buffer) - 1, len(buffer))], columns=["partition", "batch_no", "first_offset", "last_offset", "n"])
+        yield pd.DataFrame(rows(fold.rest()), columns=["partition", "batch_no", "first_offset", "last_offset", "n"])
 
     rows = log.select("partition", "offset", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("seconds"))
     return rows.repartition("partition").sortWithinPartitions("partition", "offset").mapInPandas(run, SPAN)
@@ -123,7 +137,7 @@ def heaviest(log: DataFrame, size: Column) -> DataFrame:
 
 
 def micro_batches(events: DataFrame, key: str, order: list[str], most: int, seconds: int) -> DataFrame:
-    """Groups of at most ``most`` events of a key inside the same ``seconds``."""
+    """Groups of at most ``most`` events of a key inside the same ``seconds``, which are aligned to the epoch, not to a first event."""
     slot = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (seconds * 1_000_000)).cast("long")
     slotted = events.withColumn("slot", slot)
     at = F.row_number().over(Window.partitionBy(key, "slot").orderBy(*order)) - 1

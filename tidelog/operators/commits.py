@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from ..sources.log import number_rows
 from .positions import running_max_before
 
 
+#: Sequence numbers or offsets that one task takes in order.
+BUCKET = 50_000
+
+
 def commit(requests: DataFrame, current: DataFrame) -> DataFrame:
     """Whether each request (partition, seq, c_offset) moves its partition's commit on, and the commit after it."""
-    joined = requests.join(F.broadcast(current), "partition", "left")
-    before = F.greatest(F.coalesce("committed", F.lit(-1)), F.coalesce(running_max_before(["partition"], ["seq"], "c_offset"), F.lit(-1)))
+    ran = running_max_before(requests, ["partition"], "seq", F.floor(F.col("seq") / BUCKET), "c_offset", "_asked")
+    joined = ran.join(F.broadcast(current), "partition", "left")
+    before = F.greatest(F.coalesce("committed", F.lit(-1)), F.coalesce("_asked", F.lit(-1)))
     return joined.withColumn("before", before).select("partition", "seq", "c_offset", (F.col("c_offset") > F.col("before")).alias("moved"), F.greatest("before", "c_offset").alias("after"))
 
 
@@ -38,8 +44,8 @@ def reset(current: DataFrame, given: DataFrame) -> DataFrame:
 
 def skipped_ranges(skipped: DataFrame) -> DataFrame:
     """Runs of neighbouring skipped offsets: partition, first and last."""
-    island = F.col("offset") - F.row_number().over(Window.partitionBy("partition").orderBy("offset"))
-    return skipped.withColumn("_i", island).groupBy("partition", "_i").agg(F.min("offset").alias("first"), F.max("offset").alias("last")).drop("_i")
+    numbered = number_rows(skipped.select("partition", "offset"), ["partition"], ["offset"], F.floor(F.col("offset") / BUCKET), "_nth")
+    return numbered.withColumn("_i", F.col("offset") - F.col("_nth")).groupBy("partition", "_i").agg(F.min("offset").alias("first"), F.max("offset").alias("last")).drop("_i")
 
 
 def autocommit(ranges: DataFrame, current: DataFrame) -> DataFrame:
@@ -74,13 +80,3 @@ def dead_letters(events: DataFrame, subscription: str, error: Column) -> DataFra
         error.alias("error_message"), F.col("props").alias("event"),
     )
 
-
-def dead_letter_search(window: list[tuple[int, bool]], failed: int, max_send_count: int) -> list[tuple[int, str]]:
-    """What becomes of the events of a search window (offset, whether a consumer can commit it).
-
-    Each event is sent alone; one that is never committed has failed ``max_send_count`` times and is a dead letter.
-    Below that count of failures there is no search, and events stay as they are.
-    """
-    if failed < max_send_count:
-        return [(offset, "PENDING") for offset, _ in window]
-    return [(offset, "COMMITTED" if works else "DEAD_LETTER") for offset, works in window]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -41,9 +41,9 @@ def duplicates(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def order_violations(results: DataFrame, by: list[str], order: str, failed: Column) -> DataFrame:
-    """Successful records that follow a failed one of the same key."""
-    before = F.max(failed.cast("int")).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    return results.withColumn("_before", before).where((F.col("_before") == 1) & ~failed).drop("_before")
+    """Successful records that follow a failed one of the same key: behind the first failure, which is an aggregate."""
+    first = results.where(failed).groupBy(*by).agg(F.min(order).alias("_first"))
+    return results.where(~failed).join(first, by).where(F.col(order) > F.col("_first")).drop("_first")
 
 
 def variance(log: DataFrame) -> DataFrame:

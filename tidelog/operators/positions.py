@@ -88,8 +88,8 @@ def lag(cursors: DataFrame, lines: DataFrame) -> DataFrame:
 
 def compact(log: DataFrame, as_of: Column, min_lag_days: int) -> DataFrame:
     """The newest record of each key; of keys whose newest is a tombstone, none once it is older than the lag."""
-    newest = log.groupBy("partition", "key").agg(F.max("offset").alias("offset"))
-    kept = log.join(newest, ["partition", "key", "offset"])
+    newest = log.groupBy("partition", "key").agg(F.max_by(F.struct(*log.columns), "offset").alias("_newest"))
+    kept = newest.select("_newest.*")
     return kept.where(F.col("value").isNotNull() | (F.col("ts") >= as_of - F.expr(f"INTERVAL {min_lag_days} DAYS")))
 
 
@@ -111,6 +111,16 @@ def changes_to_remove(changes: DataFrame, as_of: Column, ttl_days: int) -> DataF
     return changes.join(newest, "event_type").where(past | (F.struct("at", "id") < F.col("newest"))).drop("newest")
 
 
-def running_max_before(partition_by: list[str], order: list[str], column: str) -> Column:
-    """The greatest value of the rows before, in order."""
-    return F.max(column).over(Window.partitionBy(*partition_by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+def running_max_before(rows: DataFrame, by: list[str], order: str, bucket: Column, column: str, name: str) -> DataFrame:
+    """``rows`` with the greatest ``column`` of the rows before them in their group, in order.
+
+    ``bucket`` is a coarse form of the order: the greatest value of earlier buckets is added to that inside the bucket, so
+    a group of any size is spread over its buckets.
+    """
+    dealt = rows.withColumn("_bucket", bucket)
+    tops = dealt.groupBy(*by, "_bucket").agg(F.max(column).alias("_top"))
+    past = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = tops.select(*by, "_bucket", F.max("_top").over(past).alias("_earlier"))
+    inside = Window.partitionBy(*by, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    both = dealt.withColumn("_inside", F.max(column).over(inside)).join(earlier, [*by, "_bucket"])
+    return both.withColumn(name, F.greatest("_earlier", "_inside")).drop("_bucket", "_inside", "_earlier")

@@ -73,7 +73,6 @@ def work_path(spark: SparkSession, name: str) -> str:
 
 
 
-
 @query(
     "S09_json_stream_sink",
     """, b AS (SELECT partition, "offset" // 20 AS batch_no, "offset", props FROM log WHERE event_type <> 'error' OR event_id % 2 = 0)
@@ -297,14 +296,14 @@ def l24(spark, sf_dir):
     return logs.load(spark, sf_dir).groupBy("partition").agg(F.min(F.col("user_id") % 7).alias("lowest")).withColumn("passed", F.col("lowest") >= 1)
 
 
-@query("L25_cache_changes", "SELECT DISTINCT event_type FROM events e WHERE event_id % 3 = 0 AND NOT EXISTS (SELECT 1 FROM events x WHERE x.event_type = e.event_type AND x.user_id = e.user_id AND x.event_id % 3 = 1)")
+@query("L25_cache_changes", "SELECT DISTINCT event_type FROM events e WHERE event_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM events x WHERE x.event_type = e.event_type AND x.user_id = e.user_id AND x.event_id % 2 = 1)")
 def l25(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", "user_id", "event_id")
-    new, seen = events.where("event_id % 3 = 0"), events.where("event_id % 3 = 1")
+    new, seen = events.where("event_id % 2 = 0"), events.where("event_id % 2 = 1")
     return new.join(seen, ["event_type", "user_id"], "left_anti").select("event_type").distinct()
 
 
-@query("L26_change_compaction", "SELECT event_type, event_id AS id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r, max(ts) OVER (PARTITION BY event_type) AS newest FROM events WHERE event_id % 40 = 0) WHERE r > 1 OR newest < TIMESTAMP '2024-02-01' - INTERVAL 2 DAY")
+@query("L26_change_compaction", "SELECT event_type, event_id AS id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r, max(ts) OVER (PARTITION BY event_type) AS newest FROM events) WHERE r > 1 OR newest < TIMESTAMP '2024-02-01' - INTERVAL 2 DAY")
 def l26(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 40 = 0").select("event_type", F.col("ts").alias("at"), F.col("event_id").alias("id"))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", F.col("ts").alias("at"), F.col("event_id").alias("id"))
     return positions.changes_to_remove(rows, F.expr("TIMESTAMP_NTZ'2024-02-01'"), 2).select("event_type", "id")

@@ -41,29 +41,31 @@ def b05(spark, sf_dir):
     return batching.first_events(_log(spark, sf_dir), 500, ["ts", "event_id"]).select("partition", F.col("offset").alias("log_offset"), "event_id")
 
 
-@query("B06_subscription_limit", 'SELECT partition, count(*) AS n, max("offset") AS last FROM log WHERE "offset" < 37 GROUP BY 1')
+@query("B06_subscription_limit", 'SELECT partition, count(*) AS n, max("offset") AS last FROM (SELECT * FROM log ORDER BY ts, event_id LIMIT 37) GROUP BY 1')
 def b06(spark, sf_dir):
-    start = logs.sizes(_log(spark, sf_dir)).select("partition", F.lit(-1).cast("long").alias("committed"))
-    rows = batching.within_window(_log(spark, sf_dir), start, 37)
+    log = _log(spark, sf_dir)
+    start = logs.sizes(log).select("partition", F.lit(-1).cast("long").alias("committed"))
+    rows = batching.within_window(log, start, 37, ["ts", "event_id"])
     return rows.groupBy("partition").agg(F.count(F.lit(1)).alias("n"), F.max("offset").alias("last"))
 
 
-_SLOTS = ", s AS (SELECT partition, date_diff('hour', TIMESTAMP '2024-01-01', ts) // 12 AS slot, count(*) AS n FROM log WHERE event_type = 'error' AND user_id % 3 = 0 GROUP BY 1, 2), g AS (SELECT p.partition, slots.slot, coalesce(s.n, 0) AS n FROM sizes p CROSS JOIN range(62) AS slots(slot) LEFT JOIN s ON s.partition = p.partition AND s.slot = slots.slot)\n"
+_SLOTS = ", s AS (SELECT partition, date_diff('hour', TIMESTAMP '2024-01-01', ts) // 12 AS slot, count(*) AS n FROM log WHERE event_type = 'error' GROUP BY 1, 2), z AS (SELECT min(date_diff('hour', TIMESTAMP '2024-01-01', ts) // 12) AS a, max(date_diff('hour', TIMESTAMP '2024-01-01', ts) // 12) AS b FROM log), g AS (SELECT p.partition, slots.slot, coalesce(s.n, 0) AS n FROM sizes p CROSS JOIN (SELECT unnest(range(a, b + 1)) AS slot FROM z) AS slots LEFT JOIN s ON s.partition = p.partition AND s.slot = slots.slot)\n"
 
 
-@query("B07_keep_alive", _SLOTS + "SELECT partition, max(slot) - coalesce(max(slot) FILTER (n > 0), -1) AS empties FROM g GROUP BY 1")
+@query("B07_keep_alive", _SLOTS + "SELECT partition, max(slot) - coalesce(max(slot) FILTER (n > 0), min(slot) - 1) AS empties FROM g GROUP BY 1")
 def b07(spark, sf_dir):
     log = _log(spark, sf_dir)
     slot = F.floor((F.unix_seconds(F.col("ts").cast("timestamp")) - F.unix_seconds(F.lit("2024-01-01").cast("timestamp"))) / 43200)
-    full = log.where("event_type = 'error' and user_id % 3 = 0").groupBy("partition", slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"))
-    grid = logs.sizes(log).select("partition", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(61).cast("long"))).alias("slot"))
+    full = log.where("event_type = 'error'").groupBy("partition", slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    ends = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.min(slot).alias("a"), F.max(slot).alias("b")).first()
+    grid = logs.sizes(log).select("partition", F.explode(F.sequence(F.lit(ends["a"] or 0), F.lit(ends["b"] or 0))).alias("slot"))
     return batching.idle_runs(grid.join(full, ["partition", "slot"], "left").fillna(0, ["n"]), "partition", "slot", "n")
 
 
-@query("B08_uncommitted_cap", 'SELECT partition, "offset" AS log_offset, event_id FROM log JOIN commits USING (partition) WHERE "offset" > committed AND "offset" <= committed + 10')
+@query("B08_uncommitted_cap", 'SELECT partition, "offset" AS log_offset, event_id FROM log JOIN commits USING (partition) WHERE "offset" > committed ORDER BY ts, event_id LIMIT 10 - 3')
 def b08(spark, sf_dir):
     log = _log(spark, sf_dir)
-    return batching.within_window(log, commits_of(log), 10).select("partition", F.col("offset").alias("log_offset"), "event_id")
+    return batching.within_window(log, commits_of(log), 10, ["ts", "event_id"], uncommitted=3).select("partition", F.col("offset").alias("log_offset"), "event_id")
 
 
 @query("B09_memory_flush", ", b AS (SELECT partition, CAST(sum(strlen(props)) AS BIGINT) AS bytes FROM log GROUP BY 1) SELECT partition, bytes FROM b ORDER BY bytes DESC, partition LIMIT 1")
@@ -93,11 +95,11 @@ def b13(spark, sf_dir):
     return stats.select("partition", F.explode(starts).alias("s")).select("partition", "s.read_from", "s.at")
 
 
-_REQUESTS = ', q AS (SELECT partition, event_id AS seq, (event_id * 37) % n AS c_offset FROM log JOIN sizes USING (partition) WHERE event_id % 25 = 0)\n'
+_REQUESTS = ', q AS (SELECT partition, event_id AS seq, (event_id * 37) % n AS c_offset FROM log JOIN sizes USING (partition) )\n'
 
 
 def _requests(log):
-    return log.join(F.broadcast(logs.sizes(log)), "partition").where("event_id % 25 = 0").select("partition", F.col("event_id").alias("seq"), ((F.col("event_id") * 37) % F.col("n")).alias("c_offset"))
+    return log.join(F.broadcast(logs.sizes(log)), "partition").select("partition", F.col("event_id").alias("seq"), ((F.col("event_id") * 37) % F.col("n")).alias("c_offset"))
 
 
 @query("C01_commit", _REQUESTS + ", b AS (SELECT q.*, greatest(committed, coalesce(max(c_offset) OVER (PARTITION BY q.partition ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1)) AS before FROM q JOIN commits USING (partition)) SELECT partition, seq, c_offset, c_offset > before AS moved, greatest(before, c_offset) AS after FROM b")
@@ -176,9 +178,9 @@ def c09(spark, sf_dir):
     return commits.failed_commits(state, 3).select("partition", "failed_after")
 
 
-@query("C11_dead_letters", "SELECT 'sub-1' AS subscription_id, event_type, CAST(partition AS VARCHAR) AS partition, lpad(CAST(\"offset\" AS VARCHAR), 18, '0') AS log_offset, 'failed 3 times' AS error_message, props AS event FROM log WHERE event_type = 'error' AND event_id % 10 = 0")
+@query("C11_dead_letters", "SELECT 'sub-1' AS subscription_id, event_type, CAST(partition AS VARCHAR) AS partition, lpad(CAST(\"offset\" AS VARCHAR), 18, '0') AS log_offset, 'failed 3 times' AS error_message, props AS event FROM log WHERE event_type = 'error'")
 def c11(spark, sf_dir):
-    return commits.dead_letters(_log(spark, sf_dir).where("event_type = 'error' and event_id % 10 = 0"), "sub-1", F.lit("failed 3 times"))
+    return commits.dead_letters(_log(spark, sf_dir).where("event_type = 'error'"), "sub-1", F.lit("failed 3 times"))
 
 
 @query("C12_dead_letter_annotations", """, a(name, most, policy) AS (VALUES ('a', '3', 'SKIP_EVENT'), ('b', '1', 'SKIP_EVENT'), ('c', NULL, 'SKIP_EVENT'), ('d', '4', NULL), ('e', '10', 'DEAD_LETTER_QUEUE'), ('f', 'x', 'SKIP_EVENT'), ('g', '2', 'OTHER'), ('h', NULL, NULL))

@@ -6,6 +6,8 @@ ts, and what else the events have. ``offset`` is dense from 0 in each partition.
 
 from __future__ import annotations
 
+from weakref import WeakKeyDictionary
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,10 @@ from ..functions import scalars
 
 PARTITIONS = 8
 
+#: Logs made here, with their rows before they were numbered, and with their sizes once these are known.
+_parted: WeakKeyDictionary[DataFrame, DataFrame] = WeakKeyDictionary()
+_known: WeakKeyDictionary[DataFrame, list] = WeakKeyDictionary()
+
 
 def number_rows(df: DataFrame, by: list[str], order: list[str], bucket: Column, name: str) -> DataFrame:
     """``df`` with its rows numbered from 0 in each group of ``by``, in ``order``.
@@ -32,7 +38,9 @@ def from_events(events: DataFrame, partitions: int = PARTITIONS) -> DataFrame:
     """A log of one stream: partition by the hash of user_id, offset by ts and event_id."""
     keyed = events.withColumn("key", F.col("user_id").cast("string"))
     parted = keyed.withColumn("partition", scalars.partition_of([F.col("key")], partitions))
-    return number_rows(parted, ["partition"], ["ts", "event_id"], F.to_date("ts"), "offset")
+    log = number_rows(parted, ["partition"], ["ts", "event_id"], F.date_trunc("hour", "ts"), "offset")
+    _parted[log] = parted
+    return log
 
 
 def load(spark: SparkSession, sf_dir: str, partitions: int = PARTITIONS) -> DataFrame:
@@ -41,8 +49,16 @@ def load(spark: SparkSession, sf_dir: str, partitions: int = PARTITIONS) -> Data
 
 
 def sizes(log: DataFrame) -> DataFrame:
-    """Rows of each partition."""
-    return log.groupBy("partition").agg(F.count(F.lit(1)).alias("n"))
+    """Rows of each partition.
+
+    A log from :func:`from_events` is counted before its rows are numbered, and once: the driver then holds a row for each partition.
+    """
+    counts = lambda rows: rows.groupBy("partition").agg(F.count(F.lit(1)).alias("n"))
+    if log not in _parted:
+        return counts(log)
+    if log not in _known:
+        _known[log] = [(r["partition"], r["n"]) for r in counts(_parted[log]).collect()]
+    return log.sparkSession.createDataFrame(_known[log], "partition int, n long")
 
 
 def timelines(log: DataFrame) -> DataFrame:
