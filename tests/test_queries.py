@@ -9,8 +9,9 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tidelog.operators import assignment, batching, evolution
+from tidelog.operators import assignment, batching, evolution, positions, schemas
 from tidelog.plans import catalog
+from tidelog.sources import log as logs
 
 DIR = Path("/root/testdata/sf0.001")
 
@@ -45,23 +46,52 @@ def test_query_equals_sql(spark, duck, name):
     assert found == sorted(tuple(plain(row[k]) for k in order) for row in result.fetchall())
 
 
-@pytest.mark.parametrize("items, weights, parts", [(2, [1, 1], [1, 1]), (3, [1, 1], [2, 1]), (3, [1, 2], [1, 2]), (100, [1, 1, 1], [34, 33, 33]), (101, [1, 1, 2], [26, 25, 50])])
+@pytest.mark.parametrize("items, weights, parts", [(5, [2, 3], [2, 3]), (10, [1, 1, 2], [3, 3, 4]), (8, [1, 3], [2, 6])])
 def test_split_by_weight(items, weights, parts):
     assert assignment.split_by_weight(items, weights) == parts
 
 
-@pytest.mark.parametrize("times, sizes", [([2, 3, 4, 5, 6, 7, 9, 10, 11, 12, 14, 17, 19, 20, 30], [5, 4, 2, 3, 1]), ([2, 3, 4, 5, 2, 4, 4, 2, 9, 1], [])])
-def test_span_fold(times, sizes):
-    found = batching.span_fold(times, 5)
-    assert found[: len(sizes)] == sizes
+@pytest.mark.parametrize("times, sizes, rest", [([1, 4, 8, 9, 15, 15, 21, 40], [2, 2, 2, 1, 1], []), ([3, 7, 4, 3, 5, 8, 2], [], [7]), ([0, 6, 6, 6], [1], [3]), ([], [], [])])
+def test_span_fold(times, sizes, rest):
+    assert batching.span_fold(times, 6) == sizes
+    assert batching.span_fold(times, 6, drain=True) == sizes + rest
 
 
 def test_span_batches_equal_the_fold(spark):
-    query = catalog.QUERIES["B03_time_span_batch"](spark, str(DIR))
-    found = query.orderBy("partition", "batch_no").collect()
-    rows = catalog.QUERIES["L12_partition_listing"](spark, str(DIR)).count()
-    assert len({r.partition for r in found}) == rows
-    assert all(r.n == r.last_offset - r.first_offset + 1 > 0 for r in found)
+    log = logs.load(spark, str(DIR)).select("partition", "offset", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
+    times = {}
+    for r in log.orderBy("partition", "offset").collect():
+        times.setdefault(r.partition, []).append(r.t)
+    found = {}
+    for r in catalog.QUERIES["B03_time_span_batch"](spark, str(DIR)).orderBy("partition", "batch_no").collect():
+        assert (r.batch_no, r.first_offset) == (len(found.get(r.partition, [])), sum(found.get(r.partition, []))) and r.last_offset == r.first_offset + r.n - 1
+        found.setdefault(r.partition, []).append(r.n)
+    assert found == {p: batching.span_fold(t, 3600.0, drain=True) for p, t in times.items()}
+
+
+def test_window_cap_holds_for_the_whole_stream(spark):
+    log = spark.createDataFrame([(p, o, 10 * o + p) for p in (0, 1, 2) for o in range(20)], "partition int, offset long, ts int")
+    committed = spark.createDataFrame([(0, -1), (1, 4), (2, 30)], "partition int, committed long")
+    got = batching.within_window(log, committed, 10, ["ts"], uncommitted=3).collect()
+    assert sorted((r.partition, r.offset) for r in got) == [(0, 0), (0, 1), (0, 2), (0, 3), (0, 4), (0, 5), (1, 5)]
+    assert batching.within_window(log, committed, 10, ["ts"], uncommitted=12).count() == 0
+
+
+def test_running_maximum_over_buckets(spark):
+    values = [3, 1, 4, 1, 5, 9, 2, 6, 5, 3, 5, 8]
+    rows = spark.createDataFrame([("g", k, v) for k, v in enumerate(values)] + [("h", 0, 7)], "g string, seq long, v long")
+    for width in (1, 3, 100):
+        got = {(r.g, r.seq): r.m for r in positions.running_max_before(rows, ["g"], "seq", F.floor(F.col("seq") / width), "v", "m").collect()}
+        assert got == {("g", k): max(values[:k], default=None) for k in range(len(values))} | {("h", 0): None}
+
+
+def test_schema_diff_of_odd_schemas(spark):
+    pairs = [
+        (1, "{}", "{}"), (2, '{"properties":{"a":{"$ref":"#"}}}', '{"properties":{"a":{"$ref":"#"}},"title":"x"}'), (3, '{"type":"integer"}', '{"type":"number"}'),
+        (4, '{"properties":{"a.b":{"type":"string"},"":{}}}', '{"properties":{"a.b":{"type":"null"},"":{}}}'),
+    ]
+    got = schemas.diff(spark.createDataFrame(pairs, "n int, old_schema string, new_schema string"), "n").collect()
+    assert sorted((r.n, r.path, r.change) for r in got) == [(2, "#/", "TITLE_CHANGED"), (2, "#/properties/a/$ref", "TITLE_CHANGED"), (4, "#/properties/a.b", "TYPE_CHANGED")]
 
 
 def test_change_levels_depend_on_the_mode(spark):
