@@ -42,7 +42,7 @@ _KEEP = bytes(
     b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
 #: Bytes and texts that are counted together.
-_CHUNK, _ROWS = 1 << 21, 128
+_CHUNK, _ROWS = 1 << 19, 128
 #: Buckets of length (powers of two of n-grams), bins of cosines, and parts of the sample left out in turn.
 BUCKETS, BINS, FOLDS = 40, 2000, 5
 

@@ -147,7 +147,7 @@ def signed(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch.column(1)):
+            for a, b in slices(batch.column(1), 1 << 19):
                 sets = shingle_hashes(_bytes(batch.column(1).slice(a, b - a)))
                 sizes = np.fromiter(map(len, sets), np.int64, b - a)
                 one = np.array([s.sum(dtype=_U) for s in sets], _U)
@@ -202,7 +202,7 @@ def shingled(docs: DataFrame, names: DataFrame) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch.column(1)):
+            for a, b in slices(batch.column(1), 1 << 19):
                 own = shingle_hashes(_bytes(batch.column(1).slice(a, b - a)))
                 whole = np.array([s.sum(dtype=_U) for s in own], _U).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(whole), pa.array([s.tobytes() for s in own], pa.binary())], ["doc_id", "own", "shingles"])
@@ -306,8 +306,9 @@ def _matches(task: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.n
         met += same
         if c < coordinate:  # a pair belongs to the first list that both are in
             first &= ~(same & (((mask[left] >> c) & 1)[:, None] & ((mask[right] >> c) & 1)[None, :]).astype(bool))
-    smaller, larger = np.minimum(sizes[left][:, None], sizes[right][None, :]), np.maximum(sizes[left][:, None], sizes[right][None, :])
-    match = (met >= MATCH) & first & (label[left][:, None] != label[right][None, :]) & (100 * smaller >= percent * larger)
+    match = (met >= MATCH) & first & (label[left][:, None] != label[right][None, :])
+    i, j = np.nonzero(match)
+    match[i, j] = 100 * np.minimum(sizes[left[i]], sizes[right[j]]) >= percent * np.maximum(sizes[left[i]], sizes[right[j]])
     if not cut:
         match = np.triu(match, 1) if task.column("x")[0] == task.column("y")[0] else np.zeros_like(match)
     return left, right, match
@@ -360,7 +361,7 @@ def _links(task: pa.Table, percent: int) -> list[tuple[int, int]]:
     column = (np.cumsum(shared) - 1)[column[use]]
     owner = owner[use]
     common = np.zeros((len(left), len(right)), np.float32)
-    width = 4096
+    width = 1024
     for first in range(0, int(shared.sum()), width):
         a, b = np.searchsorted(column, [first, first + width])
         held = np.zeros((len(rows), width), np.float32)

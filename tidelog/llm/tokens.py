@@ -74,7 +74,7 @@ class Coder:
     one); else white space only separates, and letters are lower-cased.
     """
 
-    def __init__(self, path: str, spaces_count: bool, most: int = 400_000, most_bytes: int = 96_000_000):
+    def __init__(self, path: str, spaces_count: bool, most: int = 400_000, most_bytes: int = 64_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -197,7 +197,7 @@ def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, ends - ends[0]
 
 
-def slices(column: pa.Array, most_bytes: int = 1 << 21, most_rows: int = 8192) -> Iterator[tuple[int, int]]:
+def slices(column: pa.Array, most_bytes: int = 1 << 20, most_rows: int = 8192) -> Iterator[tuple[int, int]]:
     """Ranges of an array of texts that have about ``most_bytes`` together (one text is never cut)."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     first = 0
