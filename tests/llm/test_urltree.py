@@ -77,3 +77,14 @@ def test_values_of_a_variable_that_come_again_are_one_template(spark):
     rows = [f"http://h.org/user/name{chr(97 + k % 26)}{chr(97 + k // 26)}/photo" for k in range(200)] * 3
     pages = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
     assert {r.template for r in urltree.judge(pages).collect()} == {"/user/*/photo"}
+
+
+def test_the_tree_is_as_deep_as_the_paths(spark):
+    deep = "/".join(f"s{k}" for k in range(30))
+    rows = [(f"http://h.org/{deep}/name{chr(97 + k % 26)}{chr(97 + k // 26)}/end", "block") for k in range(40)]
+    rows += [("http://h.org/" + "x/" * 300, None), ("http://h.org/s0/s1", None), ("http://h.org", None), (None, "allow")]
+    pages = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "page_id long, url string, said_by_hand string")
+    found = {r.page_id: r for r in urltree.judge(pages, label="said_by_hand").collect()}
+    assert len(found) == len(rows)
+    assert {found[k].template for k in range(40)} == {f"/{deep}/*/end"} and {found[k].verdict for k in range(40)} == {"block"}
+    assert found[40].template == "/x" * 300 + "/{/}" and found[41].template == "/s0/s1" and found[42].template == ""

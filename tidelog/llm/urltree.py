@@ -21,9 +21,9 @@ Each level is an aggregation of counts (combined before the shuffle) and an
 equi-join, so a host with a third of all urls is split by its paths, and the
 verdicts come back to the urls through a join that Spark can split.
 
-Paths deeper than ``depth`` segments keep the rest as one last segment. A null
-url, or one without ``://``, has an empty host and path and is judged as such.
-Repeated rows are judged alike. An empty table gives an empty result. Other
+The tree is as deep as the paths are. A null
+url, or one without ``://``, has an empty host and path and is judged as such; a null key stays null.
+Repeated rows are judged alike. Of rules of equal length one fits at most; a purity of ``reject`` itself is blocked. An empty table gives an empty result. Other
 columns of the input are ignored.
 """
 
@@ -51,7 +51,7 @@ FORMS = (
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path of a url; both empty without ``://``."""
-    rest = F.when(F.instr(url, "://") > 0, F.expr("substring({0}, instr({0}, '://') + 3)".format("url")))
+    rest = F.when(F.instr(url, "://") > 0, F.substring(url, F.instr(url, "://") + 3, F.length(url)))
     host = F.regexp_extract(rest, r"^([^/?#]*)", 1)
     path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
     return F.coalesce(F.translate(host, _UPPER, _LOWER), F.lit("")), F.coalesce(path, F.lit(""))
@@ -79,26 +79,43 @@ def _form(segment: Column) -> Column:
     return kind
 
 
-def segments(path: Column, depth: int) -> Column:
-    """The path's segments with wildcards for their forms; the rest below ``depth`` is one segment."""
-    parts = F.filter(F.split(path, "/", depth + 1), lambda s: s != "")
+def segments(path: Column) -> Column:
+    """The path's segments with wildcards for their forms."""
+    parts = F.filter(F.split(path, "/"), lambda s: s != "")
     ending = F.when(F.endswith(path, F.lit("/")) & (F.length(path) > 1), F.array(F.lit("{/}"))).otherwise(F.array().cast("array<string>"))
     return F.concat(F.transform(parts, _form), ending)
 
 
-def grow(paths: DataFrame, depth: int, variable: float = 0.5, least: int = 8, frequent: float = 0.1, z: float = 1.96, seldom: float = 0.01, evidence: int = 5) -> DataFrame:
-    """A template for each (host, segments) of ``paths``, which has n, labelled and blocked counts."""
-    level = paths.withColumn("template", F.lit(""))
-    deepest = paths.agg(F.max(F.size("segments"))).first()[0] or 0
-    for k in range(deepest):
-        child = F.coalesce(F.get(F.col("segments"), F.lit(k)), F.lit(""))
-        level = level.withColumn("child", child)
+def grow(paths: DataFrame, variable: float = 0.5, least: int = 8, frequent: float = 0.1, z: float = 1.96, seldom: float = 0.01, evidence: int = 5) -> DataFrame:
+    """A template for each (host, segments) of ``paths``, which has n, labelled and blocked counts.
+
+    Branches of fewer than ``least`` paths end at once, as nothing below them can merge, and segments that all paths of a branch
+    share are passed in one step; so there are no more levels than there are forks.
+    """
+    columns = ["host", "segments", "n", "labelled", "blocked", "template"]
+    level, grown = paths.select(*columns[:-1], F.lit("").alias("template"), F.lit(0).alias("at")), []
+    while True:
+        branches = level.groupBy("host", "template").agg(F.count(F.lit(1)).alias("paths"), F.min("segments").alias("lowest"), F.max("segments").alias("highest"))
+        # the lowest and the highest path share what all paths between them share
+        same = F.zip_with("lowest", "highest", lambda x, y: x.eqNullSafe(y))
+        fork = F.array_position(same, F.lit(False))  # 0 if one of them is the beginning of the other
+        shared = F.when(fork > 0, fork - 1).otherwise(F.least(F.size("lowest"), F.size("highest")))
+        # how many segments a path has passed then: all, or those that its branch shares
+        ahead = F.greatest(shared, F.col("at"))
+        until = F.when(F.col("paths") < least, F.size("segments")).otherwise(ahead).cast("int")
+        stepped = level.join(branches, ["host", "template"]).withColumn("until", until).select(
+            *columns[:-1], "paths", F.concat("template", F.array_join(F.transform(F.slice("segments", F.col("at") + 1, F.col("until") - F.col("at")), lambda s: F.concat(F.lit("/"), s)), "")).alias("template"), F.col("until").alias("at")
+        )
+        child = F.coalesce(F.get(F.col("segments"), F.col("at")), F.lit(""))
+        level = scratch.keep(stepped.withColumn("child", child), "url-branches")
+        grown.append(level.where("child = ''").select(*columns))
+        level = level.where("child <> ''")
         nodes = level.groupBy("host", "template", "child").agg(*[F.sum(c).alias(f"c_{c}") for c in ("n", "labelled", "blocked")])
-        sums = nodes.where("child <> ''").groupBy("host", "template").agg(
+        sums = nodes.groupBy("host", "template").agg(
             F.count(F.lit(1)).alias("children"),
             *[F.sum(f"c_{c}").alias(f"t_{c}") for c in ("n", "labelled", "blocked")],
         )
-        known = nodes.where("child <> ''").join(sums, ["host", "template"])
+        known = nodes.join(sums, ["host", "template"])
         seldom_seen = F.col("c_n") <= F.greatest(F.lit(1.0), seldom * F.col("t_n"))
         whole = known.groupBy("host", "template").agg(F.sum(F.when(seldom_seen, 1).otherwise(0)).alias("few"))
         rate = F.col("t_blocked") / F.greatest("t_labelled", F.lit(1))
@@ -112,14 +129,14 @@ def grow(paths: DataFrame, depth: int, variable: float = 0.5, least: int = 8, fr
         merged = (F.col("children") >= least) & alike & (rare | (is_variable & few_of_many))
         token = F.when(~fixed & merged, F.lit("*")).otherwise(F.col("child"))
         named = known.join(whole, ["host", "template"]).select("host", "template", "child", token.alias("token"))
-        level = scratch.keep(level.join(named, ["host", "template", "child"], "left").select(
-            "host", "segments", "n", "labelled", "blocked",
-            F.when(F.col("token").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "token")).alias("template"),
+        level = scratch.keep(level.join(named, ["host", "template", "child"]).select(
+            *columns[:-1], F.concat("template", F.lit("/"), "token").alias("template"), (F.col("at") + 1).alias("at"),
         ), "url-level")
-    return level
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, grown)
 
 
-def judge(urls: DataFrame, rules: Sequence[tuple[str, str]] = (), key: str = "page_id", label: str | None = None, depth: int = 6, reject: float = 0.5, weight: float = 4.0) -> DataFrame:
+def judge(urls: DataFrame, rules: Sequence[tuple[str, str]] = (), key: str = "page_id", label: str | None = None, reject: float = 0.5, weight: float = 4.0) -> DataFrame:
     """``key``, host, path, rule, verdict, template and purity of every row of ``urls``.
 
     ``label``: a column of block, allow or null to learn from instead of the rules' verdicts.
@@ -136,14 +153,14 @@ def judge(urls: DataFrame, rules: Sequence[tuple[str, str]] = (), key: str = "pa
     )
     taught = F.col("_label") if label else F.col("said")
     counted = (
-        rows.groupBy("host", segments(F.col("path"), depth).alias("segments"))
+        rows.groupBy("host", segments(F.col("path")).alias("segments"))
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.sum(F.when(taught.isNotNull(), 1).otherwise(0)).alias("labelled"),
             F.sum(F.when(taught == "block", 1).otherwise(0)).alias("blocked"),
         )
     )
-    tree = grow(scratch.keep(counted, "url-paths"), depth)
+    tree = scratch.keep(grow(scratch.keep(counted, "url-paths")), "url-tree")
     domain = F.when(F.size(F.split("host", r"\.")) > 2, F.substring_index("host", ".", -2)).otherwise(F.col("host"))
     sums = lambda by: tree.withColumn("domain", domain).groupBy(*by).agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
     all_ = tree.agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")).first()
@@ -158,7 +175,7 @@ def judge(urls: DataFrame, rules: Sequence[tuple[str, str]] = (), key: str = "pa
     )
     judged = tree.select("host", F.col("segments"), "template").join(own, ["host", "template"])
     return (
-        rows.withColumn("segments", segments(F.col("path"), depth))
+        rows.withColumn("segments", segments(F.col("path")))
         .join(judged, ["host", "segments"], "left")
         .select(
             key, "host", "path", "rule",
