@@ -68,3 +68,14 @@ def test_texts_of_four_words_have_a_fingerprint(spark):
     assert all(len(r.s) == 1 and len(r.a) == 1 for r in got) and len({r.s[0] for r in got}) == 60
     near = docs.select(syncmers.likeness(syncmers.sketch(F.col("text")), syncmers.sketch(F.lit(""))).alias("near")).distinct().collect()
     assert [r.near for r in near] == [0.0]
+
+
+def test_likeness_counts_anchors_that_moved_together(spark):
+    passage, other = [f"p{k}" for k in range(40)], [f"q{k}" for k in range(40)]
+    mixed = [w for pair in zip([" ".join(passage[k : k + 4]) for k in range(0, 40, 4)], [" ".join(other[k : k + 4]) for k in range(39, 0, -4)]) for w in pair]
+    texts = {"a": passage, "moved": other[:7] + passage, "pieces": list(reversed([" ".join(passage[k : k + 4]) for k in range(0, 40, 4)])), "mixed": mixed}
+    rows = spark.createDataFrame([(k, " ".join(v)) for k, v in texts.items()], "k string, text string").select("k", syncmers.sketch(F.col("text")).alias("s"))
+    s = {r.k: r.s for r in rows.collect()}
+    near = lambda x, y: spark.createDataFrame([(s[x], s[y])], "a array<bigint>, b array<bigint>").select(syncmers.likeness(F.col("a"), F.col("b"))).first()[0]
+    assert near("a", "moved") > 0.7 and near("a", "pieces") == 0.0 and near("a", "mixed") < 0.1
+    assert [c >> 31 for c in s["a"]] == sorted({c >> 31 for c in s["a"]})

@@ -7,13 +7,15 @@ a passage keep the same k-mers in it wherever it stands: anchors by which
 passages can be aligned (:func:`anchors`, :func:`align`). A text of fewer than
 ``K`` words, or one of which no k-mer is kept, has one anchor, its whole text.
 
-The fingerprint is a bottom sketch of the anchors: the ``SKETCH`` least of their
-distinct hashes, in hexadecimal. The likeness of two fingerprints estimates the
-Jaccard similarity of the anchor sets from the least hashes of their union; two
+The fingerprint is a bottom sketch of the anchors: the ``SKETCH`` of least
+distinct hashes, each with its first place, in hexadecimal. The likeness of two
+fingerprints matches them by hash and place: it estimates the Jaccard similarity of the anchor
+sets from the least hashes of their union, and counts common anchors that moved together; two
 texts without words are alike (1), one with and one without aren't (0).
 
-Null and empty texts have an empty fingerprint. Equal texts have equal ones.
-Long texts count whole.
+Null and empty texts have an empty fingerprint. Equal texts have equal ones. Repeated rows are rows of their own,
+next to each other by doc_id and a hash of the text, and fully equal ones are alike in any order; a null doc_id comes first. An
+empty table gives an empty result. Other columns of the input are ignored. Long texts count whole.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Words of a k-mer, words of its inner runs, and hashes of a fingerprint.
+#: Words of a k-mer, words of its inner runs, and anchors of a fingerprint.
 K, S, SKETCH = 4, 2, 64
 
 
@@ -74,21 +76,45 @@ def anchors(text: Column) -> Column:
     )
 
 
+def _code(hash_: Column, at: Column) -> Column:
+    """A hash of 32 bits above a place of 31 bits."""
+    return F.shiftleft(hash_, 31).bitwiseOR(at.cast("bigint"))
+
+
+def _place(code: Column) -> Column:
+    return code.bitwiseAND(0x7FFFFFFF)
+
+
 def sketch(text: Column) -> Column:
-    """The SKETCH least distinct anchor hashes, ascending; empty without words."""
-    hashes = _at_words(text, lambda i, runs: _hash(F.get(runs, i), F.get(runs, i + K - S)), lambda w: _hash(F.array_join(w, " ")))
-    return F.coalesce(F.slice(F.sort_array(F.array_distinct(hashes)), 1, SKETCH), F.array().cast("array<bigint>"))
+    """The SKETCH anchors of least distinct hashes, each with its first place, as ascending codes; empty without words."""
+    codes = _at_words(text, lambda i, runs: _code(_hash(F.get(runs, i), F.get(runs, i + K - S)), i), lambda w: _code(_hash(F.array_join(w, " ")), F.lit(0)))
+    new = lambda all_: F.filter(all_, lambda c, k: (k == 0) | (F.shiftright(F.get(all_, k - 1), 31) != F.shiftright(c, 31)))
+    return F.coalesce(_let(F.sort_array(codes), lambda all_: F.slice(new(all_), 1, SKETCH)), F.array().cast("array<bigint>"))
 
 
 def as_text(of: Column) -> Column:
-    """A sketch as a string: 8 hexadecimal digits for each hash."""
-    return F.array_join(F.transform(of, lambda h: F.lpad(F.lower(F.hex(h)), 8, "0")), "")
+    """A sketch as a string: 16 hexadecimal digits for each anchor."""
+    return F.array_join(F.transform(of, lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated Jaccard similarity of two sketches' texts."""
-    least = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
-    return _let(least, lambda u: F.when(F.size(u) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(F.array_intersect(a, b), u)) / F.size(u)))
+    """Estimated Jaccard similarity of two sketches' anchors, of which only those count that lie in passages.
+
+    The estimate is over the least hashes of the union. An anchor of both counts if another one has moved as far, so
+    that words which meet by chance don't; an only common anchor counts.
+    """
+    hashes = lambda of: F.transform(of, lambda c: F.shiftright(c, 31))
+    least = F.slice(F.sort_array(F.array_union(hashes(a), hashes(b))), 1, SKETCH)
+    places = F.map_from_arrays(hashes(b), F.transform(b, _place))
+
+    def estimate(u: Column) -> Column:
+        top = F.get(u, F.size(u) - 1)
+        low = F.filter(a, lambda c: F.shiftright(c, 31) <= top)
+        shifts = _let(places, lambda at: F.array_compact(F.transform(low, lambda c: F.try_element_at(at, F.shiftright(c, 31)) - _place(c))))
+        together = lambda s: F.when(F.size(s) < 2, F.size(s)).otherwise(F.size(F.filter(s, lambda x: F.size(F.filter(s, lambda y: y == x)) > 1)))
+        return F.when(F.size(u) == 0, F.lit(1.0)).otherwise(_let(shifts, together) / F.size(u))
+
+    return _let(least, estimate)
 
 
 def align(left: DataFrame, right: DataFrame, key: str = "doc_id") -> DataFrame:
