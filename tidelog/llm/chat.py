@@ -27,7 +27,8 @@ order of turn.
 ``escape`` makes control strings and the escape sign itself reversible, so a
 text can never be read as a mark; :func:`parse_turn` reads a row's turn back.
 
-Null texts and roles are empty. Rows of a conversation with equal turns follow
+Null texts and roles are empty; rows of a null conv_id are one conversation of that null id, and null turns come
+first. Texts of any length are one row. Rows of a conversation with equal turns follow
 each other by role and text; fully equal ones are all kept. An empty table gives
 an empty result. Other columns of the input are ignored.
 """
@@ -431,44 +432,48 @@ def parse_turn(formatted: str) -> tuple[str, str]:
 FORMATTED = "conv_id long, turn long, nth int, formatted string, loss array<struct<start:int,end:int>>"
 
 
+#: Turns of a conversation that lie in one task.
+TURNS_TOGETHER = 64
+
+
 def format_rows(conversations: DataFrame, template: str = DEFAULT_TEMPLATE) -> DataFrame:
     """Every row's part of its conversation's text: conv_id, turn, nth, formatted and loss spans.
 
     ``loop.index`` is the turn's number less the conversation's first one, plus
     one. Rows with a conversation's highest turn share its last place; ``nth``
     orders rows with equal turns, so only one of them is first or last.
+
+    Texts are exchanged once, by conversation and a stretch of its turns; first and last turns are found from the
+    numbers alone and meet them there.
     """
     compile_template(template)
     rows = conversations.select(
         F.col("conv_id").cast("long"), F.col("turn").cast("long"),
         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
     )
-    # rows that are alike in all columns are one group: few rows each, and one row in all but damaged input
-    alike = rows.groupBy("conv_id", "turn", "role", "text").agg(F.count(F.lit(1)).alias("times"))
-    ends = rows.groupBy("conv_id").agg(F.min("turn").alias("first"), F.max("turn").alias("last"))
-    order = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
-    backwards = Window.partitionBy("conv_id", "turn").orderBy(F.desc("role"), F.desc("text"))
-    placed = (
-        alike.withColumn("nth", F.sum("times").over(order) - F.col("times"))
-        .withColumn("after", F.sum("times").over(backwards) - F.col("times"))
-        .join(ends, alike["conv_id"].eqNullSafe(ends["conv_id"]))
-        .select(
-            alike["conv_id"], "turn", "nth", "role", "text", "times", "after",
-            F.col("turn").eqNullSafe(F.col("first")).alias("at_first"), F.col("turn").eqNullSafe(F.col("last")).alias("at_last"),
-            (F.coalesce(F.col("turn") - F.col("first"), F.lit(0)) + 1).alias("index"),
-        )
+    stretch = F.coalesce(F.floor(F.col("turn") / TURNS_TOGETHER), F.lit(-1)).cast("long")
+    named = F.coalesce("conv_id", F.lit(0)).alias("_conv"), F.col("conv_id").isNull().alias("_none"), stretch.alias("_stretch")
+    numbers = rows.select("turn", *named).groupBy("_conv", "_none", "_stretch").agg(F.min("turn").alias("low"), F.max("turn").alias("high"))
+    whole = numbers.groupBy("_conv", "_none").agg(F.min("low").alias("first"), F.max("high").alias("last"))
+    ends = numbers.join(whole, ["_conv", "_none"]).select("_conv", "_none", "_stretch", "first", "last")
+    keys = ["_conv", "_none", "_stretch"]
+    met = rows.select("*", *named).join(ends, keys)
+    together = Window.partitionBy(*keys, "turn")
+    order = together.orderBy("role", "text")
+    placed = met.withColumn("nth", F.row_number().over(order) - 1).withColumn("after", F.count(F.lit(1)).over(together) - F.col("nth") - 1).select(
+        "conv_id", "turn", "nth", "role", "text", "after",
+        F.col("turn").eqNullSafe(F.col("first")).alias("at_first"), F.col("turn").eqNullSafe(F.col("last")).alias("at_last"),
+        (F.coalesce(F.col("turn") - F.col("first"), F.lit(0)) + 1).alias("index"),
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = compile_template(template)
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for conv, turn, nth, role, text, times, after, at_first, at_last, index in zip(*(c.to_pylist() for c in batch.columns)):
-                for k in range(times):
-                    first, last = at_first and nth + k == 0, at_last and after + times - 1 - k == 0
-                    formatted, spans = compiled.render_turn({"role": role, "text": text, "turn": turn}, index, first, last)
-                    for column, value in zip(out, (conv, turn, nth + k, formatted, [{"start": a, "end": b} for a, b in spans])):
-                        column.append(value)
+            for conv, turn, nth, role, text, after, at_first, at_last, index in zip(*(c.to_pylist() for c in batch.columns)):
+                formatted, spans = compiled.render_turn({"role": role, "text": text, "turn": turn}, index, at_first and nth == 0, at_last and after == 0)
+                for column, value in zip(out, (conv, turn, nth, formatted, [{"start": a, "end": b} for a, b in spans])):
+                    column.append(value)
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["conv_id", "turn", "nth", "formatted", "loss"])
 
