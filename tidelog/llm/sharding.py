@@ -12,9 +12,9 @@ through the bits of a mixed ``doc_id``, so that a group of any size is cut where
 the bytes ask for it. No task or the driver holds a group: the driver sees at
 most ``2 ** bits`` counts for each splitter and round.
 
-Rows without text have size 1 and crc32 0. Repeated rows are rows of their own;
-fully equal ones (same text and doc_id) tie in the key and stay in one shard.
-An empty table gives an empty result. Other columns of the input are ignored.
+Rows without text have size 1 and crc32 0; a null doc_id stays null. Repeated rows are rows of their own;
+fully equal ones (same text and doc_id) tie in the key and stay in one shard. A text of any
+length is one row of one shard. An empty table gives an empty result. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
