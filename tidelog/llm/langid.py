@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import slices
+from .tokens import slices, tidy
 
 #: Hashed n-grams: a power of two.
 DIMENSIONS = 1 << 13
@@ -138,7 +138,7 @@ def _document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(found[at], rows), pa.int64())], ["gram", "n"])
 
     df, n = np.zeros(DIMENSIONS, np.int64), 0
-    for r in texts.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
+    for r in texts.mapInArrow(tidy(run), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
         if r["gram"] < 0:
             n = r["n"]
         else:
@@ -187,7 +187,7 @@ def fit(training: DataFrame, sample: int = 800, per_language: int = 3, tail: flo
 
     # copies once, so that a group of them can't outgrow the sample
     drawn = lettered.where(draw < share).groupBy("lang", F.xxhash64("text").alias("hash")).agg(F.min("text").alias("text"), F.count(F.lit(1)).alias("times"))
-    rows = drawn.select("text", "lang", "times").mapInArrow(run, "lang string, vector binary, bucket long, times long").collect()
+    rows = drawn.select("text", "lang", "times").mapInArrow(tidy(run), "lang string, vector binary, bucket long, times long").collect()
     by: dict[str, list[tuple[bytes, int, int]]] = {}
     for r in rows:
         by.setdefault(r["lang"], []).append((bytes(r["vector"]), r["bucket"], r["times"]))
@@ -228,7 +228,7 @@ def fit(training: DataFrame, sample: int = 800, per_language: int = 3, tail: flo
                 yield pa.RecordBatch.from_arrays(columns, ["lang", "hash", "bucket", "place"]).filter(pa.array(right))
 
     others = lettered.where(draw >= share).select("text", "lang", F.xxhash64("text").alias("hash"))
-    judged = others.mapInArrow(rest, "lang string, hash long, bucket long, place long").distinct()
+    judged = others.mapInArrow(tidy(rest), "lang string, hash long, bucket long, place long").distinct()
     for r in judged.groupBy("lang", "bucket", "place").agg(F.count(F.lit(1)).alias("n")).collect():
         if r["lang"] in seen:
             seen[r["lang"]][r["bucket"], r["place"]] += r["n"]
@@ -245,6 +245,7 @@ def judge(text: Column, model: Model | None) -> Column:
     least = np.array([model.least[x] for x in model.languages])  # by centroid and bucket
 
     @F.arrow_udf(PREDICTED)
+    @tidy
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             n = len(batch)

@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .tokens import slices
+from .tokens import slices, tidy
 
 #: Values of a signature, and collisions of a match. A pair of similarity 0.85 has fewer than 10 of 24 with probability
 #: 1.5e-7, one of 0.8 with 6.7e-6 (the binomial sum).
@@ -156,7 +156,7 @@ def signed(docs: DataFrame) -> DataFrame:
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * COORDINATES, pa.int32()), pa.array(values.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in (2, 3, 0)), pa.array(sizes), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), flat], ["no_id", "text_hash", "doc_id", "n_shingles", "set1", "set2", "signature"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text", "no_id", F.xxhash64("text").alias("text_hash")).mapInArrow(run, SIGNED)
+    return docs.select(F.col("doc_id").cast("long"), "text", "no_id", F.xxhash64("text").alias("text_hash")).mapInArrow(tidy(run), SIGNED)
 
 
 def candidate_lists(classes: DataFrame) -> DataFrame:
@@ -208,7 +208,7 @@ def shingled(docs: DataFrame, names: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(whole), pa.array([s.tobytes() for s in own], pa.binary())], ["doc_id", "own", "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(names, "doc_id", "left_semi")
-    hashed = texts.mapInArrow(sets, "doc_id long, own long, shingles binary")
+    hashed = texts.mapInArrow(tidy(sets), "doc_id long, own long, shingles binary")
     return hashed.groupBy("doc_id", "own").agg(F.first("shingles").alias("shingles")).select("doc_id", "shingles")
 
 
@@ -244,7 +244,7 @@ def hub_links(members: DataFrame, signatures_: DataFrame, docs: DataFrame, perce
             yield _pairs(found)
 
     ordered = rows.repartition(F.col("hub"), F.col("part")).sortWithinPartitions("hub", "part", "place")
-    return ordered.select("hub", "part", "place", "doc_id", "shingles").mapInArrow(confirm, "a long, b long")
+    return ordered.select("hub", "part", "place", "doc_id", "shingles").mapInArrow(tidy(confirm), "a long, b long")
 
 
 def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -282,14 +282,14 @@ def confirmed_links(members: DataFrame, classes: DataFrame, docs: DataFrame, per
                 yield batch
 
     columns = "coordinate int, value long, x int, y int, block int, doc_id long, label long, mask int, n_shingles long, signature array<bigint>"
-    busy = scratch.keep(tasks.select(*keys, "block", "doc_id", "label", "mask", "n_shingles", "signature").mapInArrow(matched, columns), "minhash-busy")
+    busy = scratch.keep(tasks.select(*keys, "block", "doc_id", "label", "mask", "n_shingles", "signature").mapInArrow(tidy(matched), columns), "minhash-busy")
     again = busy.join(shingled(docs, busy.select("doc_id").distinct()), "doc_id").repartition(*map(F.col, keys)).sortWithinPartitions(*keys, "block", "doc_id")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for task in _tasks(batches, 4):
             yield _pairs(_links(task, percent))
 
-    return near.unionByName(again.select(*keys, "block", "doc_id", "label", "mask", "n_shingles", "signature", "shingles").mapInArrow(link, "a long, b long"))
+    return near.unionByName(again.select(*keys, "block", "doc_id", "label", "mask", "n_shingles", "signature", "shingles").mapInArrow(tidy(link), "a long, b long"))
 
 
 def _matches(task: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import scratch
-from .tokens import coder, slices
+from .tokens import coder, slices, tidy
 
 #: Lengths of the four ranks of every control byte.
 LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
@@ -110,7 +110,7 @@ def _tokenized(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(lengths + 1), ids], _names(_RAW))
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tie"), "text")
-    return rows.mapInArrow(run, _RAW)
+    return rows.mapInArrow(tidy(run), _RAW)
 
 
 def _width(tokenizer) -> str:
@@ -208,12 +208,12 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, block_id
         if held:
             yield full()
 
-    raw.mapInArrow(encode, _ENCODED).write.option("compression", "zstd").parquet(coded)
+    raw.mapInArrow(tidy(encode), _ENCODED).write.option("compression", "zstd").parquet(coded)
     scratch.drop(spark, plain)
     dealt = spark.read.schema(_ENCODED).parquet(coded).withColumn("row", F.monotonically_increasing_id())
     order = [F.asc_nulls_first("doc_id"), "tie", "row"]
     ordered = dealt.repartitionByRange(files, *order).sortWithinPartitions(*order).select("doc_id", "n", "control", "data")
-    ordered.mapInArrow(block, BLOCK).write.option("compression", "zstd").parquet(f"{path}/blocks")
+    ordered.mapInArrow(tidy(block), BLOCK).write.option("compression", "zstd").parquet(f"{path}/blocks")
     scratch.drop(spark, coded)
 
 

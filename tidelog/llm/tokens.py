@@ -13,16 +13,18 @@ encoding, so each different cut of a batch is looked up once. New cuts go to the
 tokenizer: plain words straight to its merging model, as they are one piece for
 its splitter, all else to the whole tokenizer. A text that holds the string of a
 special token is one cut. The cache is emptied when it holds ``most`` cuts or
-``most_bytes``.
+``most_bytes``, and at a task's end (:func:`tidy`).
 
 Null texts are empty.
 """
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 from itertools import chain, repeat
 
 import numpy as np
@@ -61,7 +63,7 @@ _coders: dict[tuple[str, bool], "Coder"] = {}
 
 
 def coder(path: str, spaces_count: bool) -> "Coder":
-    """This worker's coder for a vocabulary file; it stays for later tasks."""
+    """This worker's coder for a vocabulary file; it stays for later tasks, without its cache."""
     if (path, spaces_count) not in _coders:
         _coders[path, spaces_count] = Coder(path, spaces_count)
     return _coders[path, spaces_count]
@@ -185,6 +187,25 @@ class Coder:
         return ids, np.diff(total[np.searchsorted(cuts, starts)])
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for a task, which then empties the caches of words and gives freed memory back to the system.
+
+    A Python worker lives on after its task, beside stages that have no use for it.
+    """
+
+    @wraps(run)
+    def task(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        for own in _coders.values():
+            own._empty()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+        if trim:
+            trim(0)
+
+    return task
+
+
 def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of an array of texts without nulls, and where each text begins, with the end of the last."""
     if not len(column):
