@@ -52,6 +52,14 @@ def test_plain_words_stay(decoder):
     assert decoder.words("a" * 5000) and decoder.words("$" * 100) == []
 
 
+def test_words_of_many_doubles_are_asked_of_their_reading(decoder):
+    written = "iiddiioott" + "cclloowwnn"
+    plain, *read = decoder.words(written)
+    assert plain == written and read and written not in read
+    assert decoder.words(written, lambda words: read[0] in words) == [written, *read]
+    assert decoder.words(written, lambda _: False) == [written]
+
+
 def test_trigram_counts(spark):
     texts = spark.createDataFrame([("ab",), ("Ab  b",), (None,), ("",)], "text string")
     counts = toxicity.count_trigrams(texts)

@@ -209,12 +209,12 @@ class Decoder:
         """The restored words of a token without blanks (lower case).
 
         A plain word with doubled letters is read with and without them; where ``matters`` is given, only if it is
-        true of one of the readings.
+        true of one of the readings (of more than 8 doubles, too many to ask of each: of the likeliest, which is the one added).
         """
         bare = token.strip(_EDGES)
         if bare.isalpha() and not _TRIPLED.search(bare):
             doubles = len(_DOUBLED.findall(bare))
-            if not doubles or matters and not matters(_without_doubles(bare) if doubles <= 8 else [bare]):
+            if not doubles or matters and not matters(_without_doubles(bare) if doubles <= 8 else [bare, *self.decode(bare).split()]):
                 return [bare]
             return [bare, *self.decode(bare).split()]
         words = re.findall(r"[^\W\d_]+", token)
