@@ -9,7 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tidelog.operators import assignment, batching, evolution, positions, schemas
+from tidelog.operators import assignment, batching, evolution, ingest, positions, schemas
 from tidelog.plans import catalog
 from tidelog.sources import log as logs
 
@@ -105,3 +105,29 @@ def test_change_levels_depend_on_the_mode(spark):
 def test_version_bump(spark):
     rows = spark.createDataFrame([("1.2.3", "MAJOR"), ("1.2.3", "MINOR"), ("1.2.3", "PATCH"), ("1.2.3", "NO_CHANGES")], "v string, l string")
     assert [r[0] for r in rows.select(evolution.bump(F.col("v"), F.col("l"))).collect()] == ["2.0.0", "1.3.0", "1.2.4", "1.2.3"]
+
+
+def test_schema_messages_and_that_a_text_is_parsed_once(spark):
+    schema = {
+        "type": "object", "required": ["a", "z"], "additionalProperties": False,
+        "properties": {"a": {"type": "integer", "maximum": 5, "enum": [1, 9]}, "b": {"type": ["string", "null"], "pattern": "^x", "minLength": 2}, "c": {"anyOf": [{"type": "string"}, {"type": "null"}]}, "d": {"type": "array", "items": {"type": "integer"}, "maxItems": 1}},
+    }
+    texts = ['{"a":1,"z":0}', '{"a":9,"b":"y","c":3,"d":[1,"x"]}', "[1]", "{", None, '{"a":1,"z":null,"b":null}']
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, t string").select("n", ingest.violations(schema, F.col("t")).alias("v"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().lower().count("parse") == 1
+    assert {r.n: r.v for r in rows.collect()} == {
+        0: "#: extraneous key", 1: "#: required key [z] not found\n#/a: breaks maximum 5\n#/b: doesn't match ^x\n#/b: breaks minLength 2\n#/c: breaks anyOf\n#/d: an item has the wrong type\n#/d: breaks maxItems 1",
+        2: "#: expected type object", 3: "not strict JSON", 4: "not strict JSON", 5: "#: extraneous key",
+    }
+
+
+def test_publish_works_out_failures_once(spark):
+    marked = F.sha2(F.col("text"), 256).startswith("0")
+    items = spark.createDataFrame([(b, k, f"{b} {k}") for b in range(9) for k in range(20)], "batch_id long, idx int, text string")
+    got = ingest.publish(items, marked, F.lit("VALIDATING"))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("sha2(") == 1
+    bad = {(r.batch_id, r.idx) for r in items.where(marked).collect()}
+    first = {b: min(k for c, k in bad if c == b) for b in {b for b, _ in bad}}
+    for r in got.collect():
+        at = first.get(r.batch_id)
+        assert (r.status, r.step) == (("SUBMITTED", "PUBLISHING") if at is None else ("FAILED" if r.idx == at else "ABORTED", "VALIDATING" if r.idx <= at else "NONE"))

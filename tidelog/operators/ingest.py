@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,8 +41,13 @@ def is_strict(text: Column, allow_more: bool = False) -> Column:
 _KINDS = {"object": "^OBJECT", "array": "^ARRAY", "string": "^STRING$", "boolean": "^BOOLEAN$", "null": "^VOID$", "integer": "^BIGINT$", "number": r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"}
 
 
-def compile_schema(schema: dict, value: Column, path: str = "#", root: dict | None = None) -> list[Column]:
-    """Columns that are a message where ``value`` (a variant) breaks the schema, and null else.
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def compile_schema(schema: dict, value: Column, path: str = "#", root: dict | None = None) -> Column:
+    """An array of messages where ``value`` (a variant) breaks the schema, with nulls where it doesn't.
 
     Keywords: type, required, properties, additionalProperties (false), enum, pattern, minLength, maxLength, minimum, maximum,
     items (by type), minItems, maxItems, anyOf, allOf, oneOf, and $ref to definitions that don't refer to themselves.
@@ -53,9 +58,12 @@ def compile_schema(schema: dict, value: Column, path: str = "#", root: dict | No
         for part in schema["$ref"].removeprefix("#/").split("/"):
             target = target[part]
         return compile_schema(target, value, path, root)
-    out: list[Column] = []
-    kind = F.schema_of_variant(value)
-    say = lambda broken, what: out.append(F.when(value.isNotNull() & F.coalesce(broken, F.lit(False)), F.lit(f"{path}: {what}")))
+    return _once(value, lambda v: _once(F.schema_of_variant(v), lambda kind: _messages(schema, v, kind, path, root)))
+
+
+def _messages(schema: dict, value: Column, kind: Column, path: str, root: dict) -> Column:
+    out: list[Column] = [F.array().cast("array<string>")]
+    say = lambda broken, what: out.append(F.array(F.when(value.isNotNull() & F.coalesce(broken, F.lit(False)), F.lit(f"{path}: {what}"))))
     if "type" in schema:
         kinds = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
         say(~kind.rlike("|".join(_KINDS[k] for k in kinds)), f"expected type {'|'.join(kinds)}")
@@ -71,7 +79,7 @@ def compile_schema(schema: dict, value: Column, path: str = "#", root: dict | No
     for name in schema.get("required", []):
         say(kind.rlike("^OBJECT") & F.try_variant_get(value, f'$["{name}"]', "variant").isNull(), f"required key [{name}] not found")
     for name, own in schema.get("properties", {}).items():
-        out += compile_schema(own, F.try_variant_get(value, f'$["{name}"]', "variant"), f"{path}/{name}", root)
+        out.append(compile_schema(own, F.try_variant_get(value, f'$["{name}"]', "variant"), f"{path}/{name}", root))
     if schema.get("additionalProperties") is False:
         known = F.array(*[F.lit(k) for k in schema.get("properties", {})]).cast("array<string>")
         say(F.size(F.array_except(F.json_object_keys(F.to_json(value)), known)) > 0, "extraneous key")
@@ -84,17 +92,20 @@ def compile_schema(schema: dict, value: Column, path: str = "#", root: dict | No
             say(kind.rlike("^ARRAY") & broken(schema[word]), f"breaks {word} {schema[word]}")
     for word in ("anyOf", "allOf", "oneOf"):
         if word in schema:
-            fits = sum(F.when(F.coalesce(*compile_schema(s, value, path, root), F.lit(None)).isNull(), 1).otherwise(0) for s in schema[word])
+            fits = sum(F.when(F.size(F.array_compact(compile_schema(s, value, path, root))) == 0, 1).otherwise(0) for s in schema[word])
             need = {"anyOf": fits < 1, "allOf": fits < len(schema[word]), "oneOf": fits != 1}[word]
             say(need, f"breaks {word}")
-    return out
+    return F.flatten(F.array(*out))
 
 
 def violations(schema: dict, text: Column) -> Column:
     """All messages of a JSON text against a schema, one to a line; null if it is valid."""
-    value = parse(text)
-    found = F.array_compact(F.array(F.when(value.isNull(), "not strict JSON"), *compile_schema(schema, value)))
-    return F.when(F.size(found) > 0, F.array_join(found, "\n"))
+
+    def said(value: Column) -> Column:
+        found = F.array_compact(F.concat(F.array(F.when(value.isNull(), "not strict JSON")), compile_schema(schema, value)))
+        return _once(found, lambda f: F.when(F.size(f) > 0, F.array_join(f, "\n")))
+
+    return _once(parse(text), said)
 
 
 def too_large(text: Column, most: int = 999_000) -> Column:
@@ -159,7 +170,9 @@ def publish(items: DataFrame, failure: Column, step: Column) -> DataFrame:
     Only the first failing item of each batch is needed: a small aggregation, combined before the shuffle.
     """
     marked = items.withColumn("_step", F.when(failure, step))
-    first = marked.where("_step is not null").groupBy("batch_id").agg(F.min(F.struct("idx", F.col("_step").alias("at"))).alias("f"))
+    # no filter of rows: it would work out ``failure`` once more, below the projection
+    failing = F.when(F.col("_step").isNotNull(), F.struct("idx", F.col("_step").alias("at")))
+    first = marked.groupBy("batch_id").agg(F.min(failing).alias("f")).where("f is not null")
     joined = marked.join(first, "batch_id", "left")
     failed = F.col("f").isNotNull()
     status = F.when(~failed, "SUBMITTED").when(F.col("idx") == F.col("f.idx"), "FAILED").otherwise("ABORTED")
