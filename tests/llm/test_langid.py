@@ -65,3 +65,18 @@ def test_unlearnt_languages_are_rejected_and_short_valid_texts_are_not(spark):
     assert np.mean([r.rejected for r in held]) < 0.005
     short = [r for r in held if len(r.text or "") < 200 and len(set((r.text or "").split())) >= 8]  # prose, not one word or a repeated one
     assert len(short) > 20 and sum(r.rejected for r in short) <= 1
+
+
+def test_the_sample_stays_in_tasks(spark, monkeypatch):
+    rows = [(f"{words} {k}", lang) for k in range(60) for lang, words in (("en", "the cat sat on the mat"), ("de", "der hund ist nicht hier"), ("fr", "le chat est dans la rue"))]
+    frame = type(spark.range(1))
+    sent, collect = [], frame.collect
+
+    def counted(df):
+        got = collect(df)
+        sent.append(sum(len(v) for r in got for v in r if isinstance(v, (bytes, bytearray))))
+        return got
+
+    monkeypatch.setattr(frame, "collect", counted)
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"), per_language=2)
+    assert 0 < sum(sent) <= (langid.FOLDS + 1) * 3 * 2 * langid.DIMENSIONS * 4 and sorted(set(model.languages)) == ["de", "en", "fr"]

@@ -11,8 +11,8 @@ and all training texts outside of the sample. A group of copies counts once.
 
 Document frequencies are counted over all training documents. The centroids are
 fitted on a sample of at most about ``sample`` training documents of each
-language, chosen by a hash of the text, on the driver: ``sample`` vectors of
-``DIMENSIONS`` numbers for each language.
+language, chosen by a hash of the text, in one task for each language: ``sample``
+vectors of ``DIMENSIONS`` numbers. Centroids alone come to the driver.
 
 Null texts, empty ones and ones without a letter are ``und`` with score 0. Long
 texts count whole. Repeated rows get the same answer. Of equal cosines the first
@@ -33,7 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import slices, tidy
+from . import scratch
+from .tokens import give_back, slices, tidy
 
 #: Hashed n-grams: a power of two.
 DIMENSIONS = 1 << 13
@@ -146,17 +147,34 @@ def _document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     return df, n
 
 
+def _cosines(vectors: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """Products of all vectors and centroids, some vectors at a time in double precision."""
+    parts = [vectors[a : a + _ROWS].astype(np.float64) @ centroids.T for a in range(0, len(vectors), _ROWS)]
+    return np.concatenate(parts) if parts else np.zeros((0, len(centroids)))
+
+
+def _means(vectors: np.ndarray, times: np.ndarray, of: np.ndarray, k: int) -> np.ndarray:
+    """The mean of the vectors of each of ``k`` clusters, each counted ``times``; zeros for a cluster without any."""
+    weights = np.zeros((k, len(vectors)))
+    weights[of, np.arange(len(vectors))] = times
+    total = np.zeros((k, DIMENSIONS))
+    for a in range(0, len(vectors), _ROWS):
+        total += weights[:, a : a + _ROWS] @ vectors[a : a + _ROWS].astype(np.float64)
+    return total / np.maximum(weights.sum(1, keepdims=True), 1)
+
+
 def _clusters(vectors: np.ndarray, times: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """Spherical k-means, each vector counted ``times``, from far apart starts; the same rows give the same centroids."""
-    mean = lambda which: np.average(vectors[which], axis=0, weights=times[which])
-    chosen = [mean(slice(None))]
+    chosen = [_means(vectors, times, np.zeros(len(vectors), np.int64), 1)[0]]
     for _ in range(min(k, len(vectors)) - 1):
-        nearest = np.max(vectors @ np.array(chosen).T, axis=1)
-        chosen.append(vectors[int(np.argmin(nearest))])
+        nearest = np.max(_cosines(vectors, np.array(chosen)), axis=1)
+        chosen.append(vectors[int(np.argmin(nearest))].astype(np.float64))
     centroids = np.array(chosen)
     for _ in range(rounds):
-        nearest = np.argmax(vectors @ centroids.T, axis=1)
-        centroids = np.array([mean(nearest == j) if (nearest == j).any() else centroids[j] for j in range(len(centroids))])
+        nearest = np.argmax(_cosines(vectors, centroids), axis=1)
+        means = _means(vectors, times, nearest, len(centroids))
+        some = np.bincount(nearest, minlength=len(centroids)) > 0
+        centroids = np.where(some[:, None], means, centroids)
         centroids /= np.maximum(np.linalg.norm(centroids, axis=1, keepdims=True), 1e-9)
     return centroids.astype(np.float32)
 
@@ -183,41 +201,52 @@ def fit(training: DataFrame, sample: int = 800, per_language: int = 3, tail: flo
             for a, b in slices(batch.column(0), _CHUNK, _ROWS):
                 counts = _counts(_bytes(batch.column(0).slice(a, b - a)))
                 v = _vectors(counts, idf).astype(np.float16)
-                yield pa.RecordBatch.from_arrays([batch.column(1)[a:b], pa.array([x.tobytes() for x in v], pa.binary()), pa.array(_buckets(counts)), batch.column(2).slice(a, b - a)], ["lang", "vector", "bucket", "times"])
+                raw = [x.tobytes() for x in v]
+                columns = [batch.column(1)[a:b], pa.array(raw, pa.binary()), pa.array(_buckets(counts)), batch.column(2).slice(a, b - a), pa.array([zlib.crc32(x) % FOLDS for x in raw], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "vector", "bucket", "times", "fold"])
 
     # copies once, so that a group of them can't outgrow the sample
     drawn = lettered.where(draw < share).groupBy("lang", F.xxhash64("text").alias("hash")).agg(F.min("text").alias("text"), F.count(F.lit(1)).alias("times"))
-    rows = drawn.select("text", "lang", "times").mapInArrow(tidy(run), "lang string, vector binary, bucket long, times long").collect()
-    by: dict[str, list[tuple[bytes, int, int]]] = {}
-    for r in rows:
-        by.setdefault(r["lang"], []).append((bytes(r["vector"]), r["bucket"], r["times"]))
-    del rows
-    vectors, bucket, fold, times = {}, {}, {}, {}
-    for lang in sorted(by):
-        got = sorted(by.pop(lang))
-        vectors[lang] = np.frombuffer(b"".join(v for v, _, _ in got), np.float16).reshape(-1, DIMENSIONS)
-        bucket[lang] = np.array([k for _, k, _ in got])
-        fold[lang] = np.array([zlib.crc32(v) % FOLDS for v, _, _ in got])
-        times[lang] = np.array([n for _, _, n in got])
-
-    def centroids_without(left_out: int) -> tuple[np.ndarray, list[str]]:
-        found, names = [], []
-        for lang, v in vectors.items():
-            own = fold[lang] != left_out
-            if own.any():
-                found.append(_clusters(v[own].astype(np.float32), times[lang][own], per_language))
-                names += [lang] * len(found[-1])
-        return np.concatenate(found) if found else np.zeros((0, DIMENSIONS), np.float32), names
-
-    seen = {lang: np.zeros((BUCKETS, BINS), np.int64) for lang in vectors}
-    for f in range(FOLDS):
-        centroids, languages = centroids_without(f)
-        for lang, v in vectors.items():
-            judged = fold[lang] == f
-            if lang in languages and judged.any():
-                place, right = _judge(v[judged].astype(np.float32) @ centroids.T, languages, [lang])
-                np.add.at(seen[lang], (bucket[lang][judged][right], place[right]), 1)
-    centroids, languages = centroids_without(-1)
+    vectors = scratch.keep(drawn.select("text", "lang", "times").mapInArrow(tidy(run), "lang string, vector binary, bucket long, times long, fold long"), "langid-vectors")
+
+    def cluster(group: pa.Table) -> pa.Table:
+        order = sorted(range(len(group)), key=list(zip(group["vector"].to_pylist(), group["bucket"].to_pylist(), group["times"].to_pylist())).__getitem__)
+        times, fold = group["times"].to_numpy()[order], group["fold"].to_numpy()[order]
+        found: dict[str, list] = {"lang": [], "left_out": [], "place": [], "centroid": []}
+        for f in range(-1, FOLDS):
+            own = np.flatnonzero(fold != f)
+            if len(own):
+                v = np.empty((len(own), DIMENSIONS), np.float16)
+                for k, at in enumerate(own.tolist()):
+                    v[k] = np.frombuffer(group["vector"][order[at]].as_buffer(), np.float16)
+                for k, c in enumerate(_clusters(v, times[own], per_language)):
+                    for name, value in zip(found, (group["lang"][0].as_py(), f, k, c.tobytes())):
+                        found[name].append(value)
+        give_back()
+        return pa.table(found, schema=pa.schema([("lang", pa.string()), ("left_out", pa.int32()), ("place", pa.int32()), ("centroid", pa.binary())]))
+
+    clustered = vectors.groupBy("lang").applyInArrow(cluster, "lang string, left_out int, place int, centroid binary").collect()
+    without: dict[int, tuple[np.ndarray, list[str]]] = {}
+    for f in range(-1, FOLDS):
+        own = sorted((r["lang"], r["place"], bytes(r["centroid"])) for r in clustered if r["left_out"] == f)
+        without[f] = np.frombuffer(b"".join(c for _, _, c in own), np.float32).reshape(-1, DIMENSIONS), [lang for lang, _, _ in own]
+    centroids, languages = without[-1]
+    seen = {lang: np.zeros((BUCKETS, BINS), np.int64) for lang in languages}
+
+    def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fold = batch.column(3).to_numpy()
+            for f in np.unique(fold).tolist():
+                around, names = without[f]
+                said = [lang in names for lang in batch.column(0).to_pylist()]
+                for at in np.array_split(np.flatnonzero((fold == f) & said), len(fold) // _ROWS + 1):
+                    if len(at):
+                        part = batch.take(pa.array(at))
+                        v = np.frombuffer(b"".join(part.column(1).to_pylist()), np.float16).reshape(-1, DIMENSIONS)
+                        place, right = _judge(v.astype(np.float32) @ around.T, names, part.column(0).to_pylist())
+                        yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(place)], ["lang", "bucket", "place"]).filter(pa.array(right))
+
+    own_part = vectors.select("lang", "vector", "bucket", "fold").mapInArrow(tidy(left_out), "lang string, bucket long, place long")
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,9 +258,10 @@ def fit(training: DataFrame, sample: int = 800, per_language: int = 3, tail: flo
 
     others = lettered.where(draw >= share).select("text", "lang", F.xxhash64("text").alias("hash"))
     judged = others.mapInArrow(tidy(rest), "lang string, hash long, bucket long, place long").distinct()
-    for r in judged.groupBy("lang", "bucket", "place").agg(F.count(F.lit(1)).alias("n")).collect():
+    for r in judged.select("lang", "bucket", "place").unionByName(own_part).groupBy("lang", "bucket", "place").agg(F.count(F.lit(1)).alias("n")).collect():
         if r["lang"] in seen:
             seen[r["lang"]][r["bucket"], r["place"]] += r["n"]
+    give_back()
     return Model(idf, centroids, languages, {lang: _least(s, tail, enough) for lang, s in seen.items()})
 
 

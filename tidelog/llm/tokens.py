@@ -198,14 +198,19 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
         yield from run(batches)
         for own in _coders.values():
             own._empty()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
-        if trim:
-            trim(0)
+        give_back()
 
     return task
 
 
+def give_back() -> None:
+    """Gives this process's freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim:
+        trim(0)
+
+
 def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of an array of texts without nulls, and where each text begins, with the end of the last."""
     if not len(column):

@@ -14,7 +14,8 @@ weight, so that a long text doesn't add up noise.
 
 The character model counts every document's text (labels play no part). The
 logistic model is fitted on the driver on at most about ``sample`` labelled
-texts, drawn by a hash of the doc_id; all else runs in tasks. Decodings are cached
+texts, drawn by a hash of the doc_id; of their features only those that tell the
+labels apart come to the driver. All else runs in tasks. Decodings are cached
 in each task, and the cache is emptied at a bound of bytes.
 
 Null and empty texts get the score of a text without any feature. Long texts
@@ -35,7 +36,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tokens import slices, tidy
+from . import scratch
+from .tokens import give_back, slices, tidy
 
 #: What a sign may stand for (fixed values).
 LEET = {
@@ -323,27 +325,36 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, least: int = 3
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch.column(0)):
-                codes = [text_features(t, decoder).tobytes() for t in batch.column(0).slice(a, b - a).to_numpy(zero_copy_only=False)]
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a).cast(pa.int32()), pa.array(codes, pa.binary())], ["toxic", "codes"])
+                codes = [text_features(t, decoder) for t in batch.column(0).slice(a, b - a).to_numpy(zero_copy_only=False)]
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a).cast(pa.int32()), pa.array(codes, pa.list_(pa.int32()))], ["toxic", "codes"])
 
-    got = sorted((bytes(r["codes"]), r["toxic"]) for r in chosen.select("text", "toxic").mapInArrow(tidy(run), "toxic int, codes binary").collect())
-    got = sorted(set(got))  # copies teach once
-    rows = [np.frombuffer(c, np.int32) for c, _ in got]
-    if not rows:
+    # copies teach once
+    taught = scratch.keep(chosen.select("text", "toxic").mapInArrow(tidy(run), "toxic int, codes array<int>").distinct(), "toxicity-taught")
+    texts, marked = taught.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if not texts:
         return None
+    base = marked / texts
+    per_code = taught.select("toxic", F.explode("codes").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t"))
+    telling = (F.col("n") >= max(least, 0.003 * marked)) & (F.abs(F.col("t") / F.col("n") - base) > 1.5 * F.sqrt(F.lit(base * (1 - base)) / F.col("n")))
+    kept = np.array(sorted(r["code"] for r in per_code.where(telling).select("code").collect()), np.int32)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.flatnonzero(np.isin(kept, c.values.to_numpy())).astype(np.int32).tobytes() for c in batch.column(1)]
+            whole = [c.values.to_numpy().tobytes() for c in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary()), pa.array(whole, pa.binary())], ["toxic", "places", "codes"])
+
+    # in a fixed order: sums of weights are rounded by it
+    ordered = taught.mapInArrow(tidy(places), "toxic int, places binary, codes binary").orderBy("codes", "toxic")
+    got = [(bytes(r["places"]), r["toxic"]) for r in ordered.select("places", "toxic").collect()]
+    rows = [np.frombuffer(c, np.int32) for c, _ in got]
     y = np.array([t for _, t in got], float)
-    all_ = np.concatenate(rows)
-    seen = np.bincount(all_, minlength=FEATURES)
-    toxic_seen = np.bincount(np.concatenate([r for r, t in zip(rows, y) if t] or [all_[:0]]), minlength=FEATURES)
-    base = y.mean()
-    kept = np.flatnonzero((seen >= max(least, 0.003 * y.sum())) & (np.abs(toxic_seen / np.maximum(seen, 1) - base) > 1.5 * np.sqrt(base * (1 - base) / np.maximum(seen, 1))))
-    for rounds, cut in ((200, strong), (400, 0.0)):
-        place = np.full(FEATURES, -1)
-        place[kept] = np.arange(len(kept))
-        own = [x[x >= 0] for x in (place[r] for r in rows)]
-        w, bias = _train(own, y, len(kept), 0.3 if cut else 0.1, rounds)
-        if cut:
-            kept = kept[np.abs(w) >= cut * np.abs(w).max(initial=0)]
+    w, bias = _train(rows, y, len(kept), 0.3, 200)
+    strongest = np.abs(w) >= strong * np.abs(w).max(initial=0)
+    place = np.where(strongest, np.cumsum(strongest) - 1, -1)
+    rows, kept = [x[x >= 0] for x in (place[r] for r in rows)], kept[strongest]
+    w, bias = _train(rows, y, len(kept), 0.1, 400)
+    give_back()
     weights = np.zeros(FEATURES, np.float32)
     weights[kept] = w
     return Model(weights, bias, decoder)
