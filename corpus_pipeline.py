@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import decontam, langid, minhash, packing, queries, scratch, toxicity
+from tidelog.llm import decontam, langid, minhash, packing, queries, scratch, tokens, toxicity
 
 #: Rows of a table of decisions that may be broadcast (a doc_id and a hash each); beyond it both sides are shuffled.
 MOST_BROADCAST = 500_000
@@ -73,10 +73,14 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _released(stage):
-    """The stage, after the intermediate tables of the stage before are removed: its result has been written by then."""
+    """The stage, after the intermediate tables of the stage before are removed: its result has been written by then.
+
+    The session's batches are bounded from then on, as the stage's result is computed only after it returns.
+    """
 
     def step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         scratch.release(spark)
+        tokens.bound_batches(spark)
         return stage(spark, docs, sf_dir)
 
     step.__doc__, step.__name__ = stage.__doc__, stage.__name__
@@ -99,12 +103,17 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed pieces of the documents that all stages keep. They lie in the shared folder until the session's end."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     before = None
-    for k, (_, stage) in enumerate(STAGES):
-        path = f"{scratch.folder(spark)}-stage-{k}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
-        docs = spark.read.parquet(path)
-        if before:
-            scratch.drop(spark, before)
-        before = path
+    bounded = tokens.bound_batches(spark)
+    try:
+        for k, (_, stage) in enumerate(STAGES):
+            path = f"{scratch.folder(spark)}-stage-{k}-{uuid.uuid4().hex}"
+            stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
+            docs = spark.read.parquet(path)
+            if before:
+                scratch.drop(spark, before)
+            before = path
+    finally:
+        if bounded:
+            spark.conf.unset(tokens.BATCH_SETTING)
     scratch.hold(before, result=True)
     return docs

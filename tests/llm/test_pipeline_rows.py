@@ -1,9 +1,11 @@
 """The pipeline's stages on clashing names, null ids, and empty tables."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tidelog.llm import tokens
 
 DIR = "/root/testdata/sf0.001"
 CLASHING = {"score": "double", "rejected": "boolean", "kept": "string", "row": "long", "n_words": "int", "text_hash": "int", "component_id": "long", "_gone": "long", "_hash": "long", "toxic": "int"}
@@ -39,3 +41,24 @@ def test_empty_tables(spark, docs):
     empty = spark.createDataFrame([], docs.schema)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, DIR).count() == 0, name
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    """Texts of 20 MB go to a Python worker a few at a time, all of them, and a session's own bound stays."""
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["rows", "bytes"])
+
+    docs = spark.range(0, 10_000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 200).alias("text"))
+    few = docs.limit(3)
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            spark.conf.unset(tokens.BATCH_SETTING)
+            stage(spark, few.withColumn("lang", F.lit("en")), DIR)
+            got = docs.mapInArrow(sizes, "rows long, bytes long").collect()
+            assert sum(r["rows"] for r in got) == 10_000 and max(r["bytes"] for r in got) < 1.1 * tokens.BATCH_BYTES, name
+        spark.conf.set(tokens.BATCH_SETTING, "64k")
+        assert not tokens.bound_batches(spark) and spark.conf.get(tokens.BATCH_SETTING) == "64k"
+    finally:
+        spark.conf.unset(tokens.BATCH_SETTING)
